@@ -30,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanthorn.llm.blocks import BITMAP_BITS, Bits, block_bits, by_key, flags, in_blocks, inner_hash, records
 from lanthorn.llm.graph import components
 from lanthorn.llm.scratch import Scratch
 from lanthorn.llm.textcore import LOWER, NON_SPACE, Group, groups, mix, row_grams
 
 SHINGLE = 5
-#: 64 Mbit: 8 MB.
-BITMAP_BITS = 1 << 26
 #: At most so many frequent shingles, 12 bytes each, are broadcast.
 HOT_KEYS = 1 << 20
 #: Shingles of fewer documents aren't called frequent.
@@ -78,61 +77,16 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
-def _in_blocks(keys: np.ndarray, bits: int, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    block = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(block, kind="stable")
-    block, values = block[order], values[order]
-    cuts = np.flatnonzero(np.diff(block)) + 1
-    for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(block)]]), strict=True):
-        if b > a:
-            yield int(block[a]), values[a:b].tobytes()
-
-
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """From batches sorted by their first column: each key with its blobs."""
-    key, blobs = None, []
-    for batch in batches:
-        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if k != key:
-                if blobs:
-                    yield key, blobs
-                key, blobs = k, []
-            blobs.append(blob)
-    if blobs:
-        yield key, blobs
-
-
-def _records(names: list[str], rows: Iterator[tuple], types: list[pa.DataType], most: int = 4096) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
-
-
 class Order:
     """The broadcast part: which shingles are shared, and which are frequent."""
 
     def __init__(self, bits: int, segments: dict[int, bytes], hot: np.ndarray, levels: np.ndarray) -> None:
-        self.bits = bits
-        self.width = max(8, BITMAP_BITS >> bits)
-        empty = bytes(self.width // 8)
-        self.bitmap = np.frombuffer(b"".join(segments.get(i, empty) for i in range(1 << bits)), np.uint8)
+        self.bits, self.seen = bits, Bits(bits, segments)
         order = np.argsort(hot)
         self.hot, self.levels = hot[order], levels[order]
 
-    def place(self, hashes: np.ndarray) -> np.ndarray:
-        """The bit of a shingle: its block's segment, then the next bits of its hash."""
-        block = hashes >> np.uint64(64 - self.bits)
-        inner = (hashes << np.uint64(self.bits)) >> np.uint64(32)
-        return (block * np.uint64(self.width) + ((inner * np.uint64(self.width)) >> np.uint64(32))).astype(np.int64)
-
     def shared(self, hashes: np.ndarray) -> np.ndarray:
-        at = self.place(hashes)
-        return (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        return self.seen.test(hashes)
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         """Sorts rare shingles first, then by hash."""
@@ -149,23 +103,19 @@ def _count(docs: DataFrame, text: str, bits: int) -> Order:
         for batch in batches:
             for group in groups(batch.column(0), NON_SPACE, LOWER, 8 << 20):
                 hashes, _ = shingle_sets(group)
-                inner = ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-                yield from _records(["block", "blob"], _in_blocks(hashes, bits, inner), [pa.int32(), pa.binary()])
+                yield from records(["block", "blob"], in_blocks(hashes, bits, inner_hash(hashes, bits)), [pa.int32(), pa.binary()])
 
-    width, share = max(8, BITMAP_BITS >> bits), max(1, HOT_KEYS >> bits)
+    share = max(1, HOT_KEYS >> bits)
 
     def count(batches):
         def rows():
-            for block, blobs in _by_key(batches):
+            for block, blobs in by_key(batches):
                 keys, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in blobs]), return_counts=True)
-                bit = ((keys[n > 1].astype(np.uint64) * np.uint64(width)) >> np.uint64(32)).astype(np.int64)
-                flags = np.zeros(width, np.uint8)
-                flags[bit] = 1
                 hot = np.flatnonzero(n >= HOT_FROM)
                 hot = hot[np.argsort(-n[hot], kind="stable")[:share]]
-                yield block, np.packbits(flags, bitorder="little").tobytes(), keys[hot].tobytes(), np.minimum(n[hot], 1 << 30).astype(np.int32).tobytes()
+                yield block, flags(keys[n > 1], bits), keys[hot].tobytes(), np.minimum(n[hot], 1 << 30).astype(np.int32).tobytes()
 
-        yield from _records(["block", "bitmap", "hot", "counts"], rows(), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], 16)
+        yield from records(["block", "bitmap", "hot", "counts"], rows(), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], 16)
 
     blobs = docs.select(text).mapInArrow(send, "block int, blob binary")
     counted = blobs.repartition(max(8, (1 << bits) // 2), "block").sortWithinPartitions("block").mapInArrow(count, "block int, bitmap binary, hot binary, counts binary")
@@ -207,12 +157,12 @@ def _columns(docs: DataFrame, text: str, order, bits: int, percent: int) -> Data
                 keep = np.flatnonzero(at < prefix_length(n, percent)[row])
                 keep = keep[own.shared(hashes[keep])]
                 entry = np.empty(len(keep), _ENTRY)
-                entry["hash"] = ((hashes[keep] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+                entry["hash"] = inner_hash(hashes[keep], bits)
                 entry["cls"], entry["n"], entry["at"] = cls[row[keep]], n[row[keep]], at[keep]
-                yield from _records(["block", "blob"], _in_blocks(hashes[keep], bits, entry), [pa.int32(), pa.binary()])
+                yield from records(["block", "blob"], in_blocks(hashes[keep], bits, entry), [pa.int32(), pa.binary()])
 
     def meet(batches):
-        for block, blobs in _by_key(batches):
+        for block, blobs in by_key(batches):
             entry = np.concatenate([np.frombuffer(b, _ENTRY) for b in blobs])
             entry = entry[np.lexsort((entry["n"], entry["cls"], entry["hash"]))]
             same = (entry["hash"][1:] == entry["hash"][:-1]) & (entry["cls"][1:] == entry["cls"][:-1]) & (entry["n"][1:] == entry["n"][:-1])
@@ -371,7 +321,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bits = min(20, max(6, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    bits = block_bits(docs)
     signed = scratch.save(_signatures(docs, "id", "text"), "signatures")
     order = spark.sparkContext.broadcast(_count(docs, "text", bits))
     columns = scratch.save(_columns(docs, "text", order, bits, percent), "columns")
