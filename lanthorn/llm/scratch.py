@@ -47,10 +47,10 @@ class Scratch:
         except Exception:  # the session may be gone
             pass
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         self._n += 1
         path = f"{self.base}/{self._n}-{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
