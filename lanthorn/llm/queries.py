@@ -17,6 +17,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanthorn.llm.embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanthorn.llm.toxicity import toxicity
 
