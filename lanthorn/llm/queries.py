@@ -17,6 +17,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanthorn.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanthorn.llm.embedding_dedup import near_vectors
 
