@@ -67,6 +67,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanthorn.llm.chat_tree import format_conversations, with_control_case
+
+    return format_conversations(with_control_case(spark, _table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
