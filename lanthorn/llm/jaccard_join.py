@@ -342,3 +342,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = placed.join(least, "component", "left")
     whose = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whose.cast(docs.schema["id"].dataType).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of docs, with all their columns, of the smallest id of each component; one row of each id.
+
+    Rows with a null id stay.
+    """
+    found = jaccard_components(docs, id_col, text_col, percent)
+    scratch = Scratch(docs.sparkSession, "keep")
+    ids = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
+    odd = scratch.save(ids.where((F.col("component_id") != F.col(id_col)) | (F.col("rows") > 1)), "odd")
+    again = odd.where(F.col("component_id") == F.col(id_col)).select(id_col)
+    rest = docs.join(odd.select(id_col), id_col, "left_anti")
+    return rest.unionByName(docs.join(again, id_col, "left_semi").dropDuplicates([id_col])).select(*docs.columns)
