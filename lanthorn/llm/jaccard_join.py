@@ -13,8 +13,8 @@ shingles, cut into blocks by the leading bits of the hash.
    the shared shingle in both orders allow the threshold.
 4. Exact check of pairs on the whole shingle sets.
 
-Only components are asked for, so the product runs twice. The first time a column joins each class to its smallest
-class, which links large groups of near copies with few pairs. The second time it yields all pairs *between different
+Only components are asked for, so the product runs twice. The first time a column joins each class to its few smallest
+classes, which links large groups of near copies with few pairs. The second time it yields all pairs *between different
 components*; those that passed the first time aren't repeated. So no link between components is lost, and a group of
 thousands of near copies doesn't yield millions of pairs.
 
@@ -217,22 +217,20 @@ def _emit(part: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: in
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1].astype(np.int32)), pa.array(pairs[2]), pa.array(pairs[3].astype(np.int32))], ["a", "an", "b", "bn"])
 
 
-def star_pairs(percent: int, all_up_to: int = 4):
-    """Pairs of each class of a column with its smallest class; all pairs of columns with a few classes."""
+def star_pairs(percent: int, anchors: int = 8):
+    """Pairs of each class of a column with the column's smallest classes; in columns of few classes these are all pairs."""
 
     def run(batches):
         for part in _whole_columns(batches):
+            by = np.lexsort((part["cls"], part["column"]))
+            part = {k: v[by] for k, v in part.items()}
             first, size = _runs(part["column"])
-            of = np.repeat(np.arange(len(first)), size)
-            least = np.minimum.reduceat(part["cls"], first)
-            anchor = np.flatnonzero(part["cls"] == least[of])
-            anchor = anchor[np.unique(of[anchor], return_index=True)[1]]
-            i, j = anchor[of], np.arange(len(of))
-            some = [(i[i != j], j[i != j])]
-            for d in range(1, all_up_to):
-                k = np.arange(len(of) - d)
-                k = k[(of[k] == of[k + d]) & (size[of[k]] <= all_up_to)]
-                some.append((k, k + d))
+            begin, end = np.repeat(first, size), np.repeat(first + size, size)
+            at = np.arange(len(begin))
+            some = []
+            for d in range(anchors):
+                j = np.flatnonzero((begin + d < end) & (begin + d < at))
+                some.append((begin[j] + d, j))
             out = _emit(part, np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some]), percent)
             if out is not None:
                 yield out
