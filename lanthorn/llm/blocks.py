@@ -14,7 +14,7 @@ BITMAP_BITS = 1 << 26
 
 def block_bits(docs: DataFrame) -> int:
     """As many blocks as keep one of them small: four to eight for each partition of the input."""
-    return min(20, max(6, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    return min(20, max(4, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
 
 
 def in_blocks(keys: np.ndarray, bits: int, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
