@@ -21,7 +21,7 @@ from lanthorn.operators.rules import default_rule_set
 from lanthorn.operators.suppress import extract_directives
 from lanthorn.plans.corpus import corpus
 from lanthorn.plans.report import annotations, count_by_severity, should_fail, summary
-from lanthorn.plans.scan import ORDER, kept_findings, raw_findings
+from lanthorn.plans.scan import kept_findings, order, raw_findings
 
 Query = Callable[[SparkSession, str], DataFrame]
 _COLUMNS = ["file", "line", "rule_id", "severity", "score"]
@@ -98,7 +98,7 @@ def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 of the total order, which a report shows."""
     files = corpus(spark, sf_dir)
     found = kept_findings(files, raw_findings(files).where(F.col("rule_id") == "obf.bidi-control"))
-    return found.orderBy(*ORDER).limit(50).select(*_COLUMNS)
+    return found.orderBy(*order()).limit(50).select(*_COLUMNS)
 
 
 def snippet_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

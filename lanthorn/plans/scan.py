@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanthorn import __version__
@@ -16,7 +16,9 @@ from lanthorn.operators.rules import RuleSet, default_rule_set
 from lanthorn.operators.suppress import extract_directives, in_changed_lines, matches_allowlist, without_disabled
 from lanthorn.sources.files import from_diff, from_directory, from_paths, with_targets
 
-ORDER = [F.desc("rank"), F.desc("score"), F.col("file"), F.col("line"), F.col("detector_ord"), F.col("match_ord")]
+def order() -> list[Column]:
+    """The total order of findings: severity, score, file, line, and then the detectors' own order."""
+    return [F.desc("rank"), F.desc("score"), F.col("file"), F.col("line"), F.col("detector_ord"), F.col("match_ord")]
 
 
 def raw_findings(files: DataFrame, rules: RuleSet | None = None, detectors: Iterable[Detector] | None = None, disabled: Iterable[str] = (), timeout: float | None = None) -> DataFrame:
@@ -80,4 +82,4 @@ def scan(
     raw = raw_findings(files, rules, detectors, disabled_detectors, None if file_timeout_ms is None else file_timeout_ms / 1000)
     kept = kept_findings(files.drop("diff_mode") if whole else files, raw, allowlist, min_severity, directive_keyword, symbol_resolver)
     failed = raw.where(F.col("failed").isNotNull()).select(F.col("failed").alias("detector")).distinct()
-    return ScanResult(kept.orderBy(*ORDER).select(*FINDING_COLUMNS), with_targets(files).select("path", F.col("source").isNotNull().alias("scanned")), failed, rules.version, __version__)
+    return ScanResult(kept.orderBy(*order()).select(*FINDING_COLUMNS), with_targets(files).select("path", F.col("source").isNotNull().alias("scanned")), failed, rules.version, __version__)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ _HUNK = re.compile(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", re.ASCII)
 def _sections(lines: list[str]):
     """The lines of each file, from its header on."""
     heads = [i for i, line in enumerate(lines) if _FILE.match(line)]
-    for a, b in zip(heads, [*heads[1:], len(lines)], strict=True):
+    for a, b in pairwise([*heads, len(lines)]):
         yield lines[a:b], b == len(lines)
 
 
@@ -61,7 +62,7 @@ def parse_diff(diff: str | None) -> list[tuple[str, str, list[tuple[int, int]]]]
                 else:
                     path = name.removeprefix("b/")
         ranges = []
-        for a, b in zip(hunks, [*hunks[1:], len(section)], strict=True):
+        for a, b in pairwise([*hunks, len(section)]):
             if m := _HUNK.match(section[a]):
                 ranges += _gained(section[a + 1 : b], int(m[1]), at_end and b == len(section))
         if status != "deleted":

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from lanthorn.model import Allowlist
-from lanthorn.plans.scan import ORDER, kept_findings, raw_findings
+from lanthorn.plans.scan import kept_findings, order, raw_findings
 
 
 def scan_stream(files: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, allowlist: Allowlist | None = None, min_severity: str = "info", **trigger) -> StreamingQuery:
     """Gives ``sink`` the findings of each micro-batch of (path, source) rows, in their order within the batch."""
 
     def batch(df: DataFrame, number: int) -> None:
-        sink(kept_findings(df, raw_findings(df), allowlist, min_severity).orderBy(*ORDER), number)
+        sink(kept_findings(df, raw_findings(df), allowlist, min_severity).orderBy(*order()), number)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
