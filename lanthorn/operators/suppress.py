@@ -76,6 +76,6 @@ def matches_allowlist(allowlist: Allowlist, rule_id: Column, severity: Column, s
 
 
 def in_changed_lines(findings: DataFrame, targets: DataFrame) -> DataFrame:
-    """Of files in diff mode, the findings on added lines; other files keep all. targets: (path, added_ranges, diff_mode)."""
-    f = findings.join(targets.select(F.col("path").alias("file"), "added_ranges", "diff_mode"), "file")
-    return f.where(~F.col("diff_mode") | F.coalesce(in_ranges(F.col("line"), F.col("added_ranges")), F.lit(False))).drop("added_ranges", "diff_mode")
+    """Of files that targets (path, added_ranges) lists, the findings on added lines; other files keep all."""
+    f = findings.join(targets.select(F.col("path").alias("file"), F.struct("added_ranges").alias("target")), "file", "left")
+    return f.where(F.col("target").isNull() | F.coalesce(in_ranges(F.col("line"), F.col("target.added_ranges")), F.lit(False))).drop("target")

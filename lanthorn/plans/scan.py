@@ -34,9 +34,7 @@ def kept_findings(files: DataFrame, raw: DataFrame, allowlist: Allowlist | None
     found = raw.where(F.col("failed").isNull()).drop("failed").withColumn("snippet", truncate_snippet(F.col("snippet"))).withColumn("rank", severity_rank(F.col("severity")))
     found = found.where(F.col("rank") >= RANK[min_severity])
     if "diff_mode" in files.columns:
-        ranged = files.where("diff_mode").select("path", "added_ranges", "diff_mode").dropDuplicates(["path"])
-        whole = found.join(ranged.select(F.col("path").alias("file")), "file", "left_anti")
-        found = whole.unionByName(in_changed_lines(found, ranged))
+        found = in_changed_lines(found, files.where("diff_mode").select("path", "added_ranges").dropDuplicates(["path"]))
     if allowlist and (allowlist.paths or allowlist.snippets):
         found = found.where(~matches_allowlist(allowlist, F.col("rule_id"), F.col("severity"), F.col("snippet"), F.col("file")))
     found = without_disabled(found, extract_directives(files, keyword))
