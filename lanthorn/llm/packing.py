@@ -12,8 +12,8 @@ With ``targets`` the shares differ from what the sources hold. Queues then run d
 Queues: sources whose share is less than a token in a window, and sources beyond the ``max_queues`` largest, share one
 queue. So the driver and the tasks hold ``max_queues`` totals, whatever the number of sources.
 
-Tokens are made once and written to the shared folder. Splitting a text at ASCII white space doesn't change the ids
-of the tokenizers used here (tests hold this against whole texts), so each distinct word is tokenized once in a task.
+Tokens are made once and written to the shared folder. Texts are cut where the tokenizer's own pattern cuts them (tests hold
+the ids against those of whole texts), so that a worker tokenizes each distinct part about once.
 """
 
 from __future__ import annotations
@@ -27,65 +27,163 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanthorn.llm.scratch import Scratch
-from lanthorn.llm.textcore import NON_SPACE, groups
+from lanthorn.llm.textcore import GROUP_BYTES, span_hashes, utf8
 
 LENGTH = 4096
 END = 2
 
 
+# Kinds of bytes: white space, letters (ASCII ones, and all bytes of other characters), digits, other ASCII characters.
+_SPACE, _LETTER, _DIGIT, _MARK, _WHOLE = range(5)
+_KIND = np.full(256, _MARK, np.uint8)
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _SPACE
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = _LETTER
+# Bytes of words that aren't cut further: control characters, the apostrophe and < (contractions and special tokens), and
+# whatever starts a character outside U+00C0 to U+023F, where all but two are letters that NFC leaves alone.
+_RARE = np.zeros(256, bool)
+_RARE[:0x20] = _RARE[0x7F] = _RARE[[0x27, 0x3C]] = True
+_RARE[0xC0:] = True
+_RARE[0xC3:0xC9] = False
+_RARE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the parts that the tokenizer treats one by one, and whether each is a whole word.
+
+    A word is cut into runs of letters, single digits and runs of other characters, as the tokenizer's own pattern does.
+    """
+    kind = _KIND[data]
+    rare = _RARE[data]
+    if len(data) > 1:  # the multiplication and division signs, and a letter that NFC and lower case change
+        pair = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+        rare[:-1] |= pair
+    row_start = offsets[(offsets < len(data))]
+    if rare.any():
+        space = kind == _SPACE
+        begins = ~space
+        begins[1:] &= space[:-1]
+        begins[row_start] = ~space[row_start]
+        number = np.cumsum(begins)
+        marked = np.zeros(int(number[-1]) + 1, bool)
+        marked[number[rare]] = True
+        marked[0] = False
+        kind[marked[number] & ~space] = _WHOLE
+    new = np.ones(len(kind), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    new[row_start] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(kind))
+    some = kind[first] != _SPACE
+    first, last = first[some], last[some]
+    return first, last, kind[first] == _WHOLE
+
+
 class Words:
-    """Ids of texts, by way of a cache of words."""
+    """Ids of texts, by way of a cache of parts: sorted hashes, and where the ids of each stand in a pool."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 2_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.pool: list[np.ndarray] = []
-
-    def encode(self, group) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words of a group, and the number of ids of each word."""
-        if len(self.place) > self.most:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _ids(self, texts: list[str], whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of parts, and the number of each part's."""
+        if not whole:  # each is one token of the tokenizer's pattern, and the last of its ids ends a word
+            got = np.array(self.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[got])
+            if len(last) == len(texts) and (not len(got) or last[-1] == len(got) - 1):
+                return got, np.diff(last, prepend=-1)
+        own = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.array([i for ids in own for i in ids], np.uint32), np.array([len(ids) for ids in own], np.int64)
+
+    def _learn(self, keys: np.ndarray, texts: list[str], whole: np.ndarray) -> None:
+        learnt = []
+        for kind in (False, True):
+            of = np.flatnonzero(whole == kind)
+            for lo in range(0, len(of), 2048):
+                part = of[lo : lo + 2048]
+                ids, n = self._ids([texts[i] for i in part], kind)
+                while self.used + len(ids) > len(self.pool):
+                    self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+                self.pool[self.used : self.used + len(ids)] = ids
+                at = self.used + np.cumsum(n) - n
+                self.used += len(ids)
+                learnt.append((keys[part], at, n))
+        fresh, at, n = (np.concatenate(x) for x in zip(*learnt, strict=True))
+        order = np.argsort(fresh)
+        place = np.searchsorted(self.keys, fresh[order])
+        self.keys, self.at, self.size = np.insert(self.keys, place, fresh[order]), np.insert(self.at, place, at[order]), np.insert(self.size, place, n[order])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows of a UTF-8 buffer, one row after another, and where each row's end."""
+        first, last, whole = chunks(data, offsets)
+        hashes = span_hashes(data, first, last) ^ whole.astype(np.uint64)
+        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
             self.clear()
-        unique, first, inverse = np.unique(group.hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            texts = [group.word(int(first[i])).decode("utf-8", "replace") for i in part]
-            for i, got in zip(part, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                self.place[keys[i]] = len(self.pool)
-                self.pool.append(np.array(got.ids, np.uint32))
-        own = [self.pool[self.place[k]] for k in keys]
-        size = np.array([len(x) for x in own], np.int64)
-        start = np.cumsum(size) - size
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        n = size[inverse]
-        out = np.repeat(start[inverse] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return flat[out], n
+        place = np.searchsorted(self.keys, unique)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == unique[known]
+        new = where[~known]
+        if len(new):
+            raw = data.tobytes()
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
+            self._learn(hashes[new], texts, whole[new])
+            place = np.searchsorted(self.keys, unique)
+        n = self.size[place][inverse]
+        ends = np.cumsum(n)
+        flat = self.pool[np.repeat(self.at[place][inverse] - (ends - n), n) + np.arange(int(n.sum()))]
+        bounds = np.concatenate([[0], ends])[np.searchsorted(first, offsets)]
+        return flat, bounds
+
+
+_caches: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """The cache of this worker, kept from task to task."""
+    if path not in _caches:
+        _caches.clear()
+        _caches[path] = Words(path)
+    return _caches[path]
+
+
+def row_groups(column: pa.Array, size: int = GROUP_BYTES):
+    """(first row, bytes, offsets) of rows in groups of about ``size`` bytes."""
+    data, at = utf8(column)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, min(len(column), int(np.searchsorted(at, at[lo] + size, "right")) - 1))
+        yield lo, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        lo = hi
 
 
 def _tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        words, part = Words(path), TaskContext.get().partitionId()
+        words, part = words_of(path), TaskContext.get().partitionId()
         before: dict[str, int] = {}
         for batch in batches:
-            for group in groups(batch.column(2), NON_SPACE):
-                ids, per_word = words.encode(group)
-                ends = np.concatenate([[0], np.cumsum(per_word)])[group.ptr]
+            for lo, data, offsets in row_groups(batch.column(2)):
+                ids, ends = words.encode(data, offsets)
                 n = np.diff(ends) + 1
-                keys = batch.column(1).slice(group.lo, len(n)).to_pylist()
+                keys = batch.column(1).slice(lo, len(n)).to_pylist()
                 own, blobs = [], []
                 for i, k in enumerate(keys):
                     own.append(before.get(k, 0))
                     before[k] = own[-1] + int(n[i])
                     blobs.append(np.append(ids[ends[i] : ends[i + 1]], np.uint32(end)).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(group.lo, len(n)), pa.array(keys, pa.string()), pa.array([part] * len(n), pa.int32()), pa.array(own, pa.int64()), pa.array(n), pa.array(blobs, pa.binary())], ["id", "queue", "part", "before", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), pa.array(keys, pa.string()), pa.array([part] * len(n), pa.int32()), pa.array(own, pa.int64()), pa.array(n), pa.array(blobs, pa.binary())], ["id", "queue", "part", "before", "n", "ids"])
 
     return docs.mapInArrow(run, f"id {kind}, queue string, part int, before long, n long, ids binary")
 
