@@ -71,6 +71,31 @@ CASES = [
     ("c/14/.github/workflows/x.yml", "run: curl https://example.com | bash", ["obf.gha-curl-pipe-shell"], []),
     ("c/15/Dockerfile", "FROM x\nRUN curl https://example.com | sh", ["obf.dockerfile-curl-pipe-shell"], []),
     ("c/16/Dockerfile", "FROM x\nRUN apt-get update", [], ["obf.dockerfile-curl-pipe-shell"]),
+    ("e/1.cs", "byte[] b = Convert.FromBase64String(text);\nvar a = Assembly.Load(b);", ["obf.decode-then-exec.c_sharp"], []),
+    ("e/2.cs", "var f = new BinaryFormatter();\nreturn f.Deserialize(stream);", ["obf.deserializer-untrusted.c_sharp"], []),
+    ("e/3.cs", 'Console.WriteLine("ready");', [], ["obf"]),
+    ("e/4.go", 'raw, _ := base64.StdEncoding.DecodeString(text)\nt, _ := template.New("x").Parse(string(raw))', ["obf.decode-then-exec.go"], []),
+    ("e/5.go", 'fmt.Fprintln(w, "ready")', [], ["obf"]),
+    ("e/6.java", "ObjectInputStream in = open(s);\nreturn in.readObject();", ["obf.deserializer-untrusted.java"], []),
+    ("e/7.java", 'Runtime.getRuntime().exec("ls " + name);', ["obf.shell-with-untrusted-input.java"], []),
+    ("e/8.java", "return repository.findAll();", [], ["obf"]),
+    ("e/9.kt", "return engine.eval(code)", ["obf.dynamic-exec-with-non-literal.kotlin"], []),
+    ("e/10.kt", "data class Point(val x: Int, val y: Int)", [], ["obf"]),
+    ("e/11.lua", "local s = string.char(112, 114)\nlocal f = loadstring(s)", ["obf.decode-then-exec.lua"], []),
+    ("e/12.lua", "local t = { width = 3 }", [], ["obf"]),
+    ("e/13.pl", "use MIME::Base64;\neval(decode_base64($x));", ["obf.decode-then-exec.perl"], []),
+    ("e/14.pl", "my $n = length($line);\nprint $n;", [], ["obf"]),
+    ("e/15.rs", "let raw = general_purpose::STANDARD.decode(text)?;\nlet l = Library::new(&raw)?;", ["obf.decode-then-exec.rust", "obf.library-load-non-literal.rust"], []),
+    ("e/16.rs", "fn add(a: u32, b: u32) -> u32 { a + b }", [], ["obf"]),
+    ("e/17.vbs", "s = Chr(87) & Chr(83)\nExecute s", ["obf.decode-then-exec.vbscript"], []),
+    ("e/18.vbs", 'WScript.Echo "ready"', [], ["obf"]),
+    ("e/19.ps1", "IEX (New-Object Net.WebClient).DownloadString($url)", ["obf.network-then-exec.powershell"], []),
+    ("e/20.ps1", "Get-Date | Format-List", [], ["obf"]),
+    ("e/21.go", 'resp, _ := http.Get(url)\n// parse (it) with template\nt.Execute (os.Stdout, http.Get (url))', ["obf.network-then-exec.go"], []),
+    ("e/22.php", "<?php unserialize($_POST['x']);", ["obf.deserializer-untrusted.php"], []),
+    ("e/23.php", "<?php echo htmlspecialchars($name);", [], ["obf"]),
+    ("e/24.rb", "class Point\n  attr_reader :x\nend", [], ["obf"]),
+    ("e/25.sh", "set -e\nmake all", [], ["obf"]),
     ("d/null.js", None, [], ["obf"]),
     ("d/empty.js", "", [], ["obf"]),
 ]
