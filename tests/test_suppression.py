@@ -126,3 +126,11 @@ def test_stream(spark, tmp_path):
     files = spark.readStream.schema("path string, source string").json(str(tmp_path / "in"))
     scan_stream(files, lambda df, n: out.extend(df.collect()), str(tmp_path / "check")).awaitTermination(60)
     assert [f.rule_id for f in out] == ["obf.dynamic-exec-with-non-literal.javascript"]
+
+
+def test_public_names():
+    import lanthorn
+
+    assert all(getattr(lanthorn, name) is not None for name in lanthorn.__all__)
+    with pytest.raises(AttributeError):
+        lanthorn.nothing  # noqa: B018
