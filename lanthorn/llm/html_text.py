@@ -30,6 +30,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "thead": {"table"}}
 # Words in class, id or role names of what isn't the article.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead topbar footer bottom colophon copyright comment comments commentlist respond replies reply discussion disqus share sharing social follow related recommended recommendations newsletter subscribe subscription signup login search widget toolbar skip tags tagcloud contentinfo complementary".split())
+#: Elements nested deeper count as part of their parents, as browsers have it too.
+DEEPEST = 256
 PUNCTUATION = ",.;:!?¡¿…、。，！？"
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?][^>]*>")
@@ -38,11 +40,12 @@ _NAME = re.compile(r"[A-Za-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "skipped", "main", "link")
+    __slots__ = ("tag", "parent", "path", "depth", "skipped", "main", "link")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str = "") -> None:
         self.tag, self.parent = tag, parent
         self.path = f"{parent.path}/{tag}" if parent else tag
+        self.depth = parent.depth + 1 if parent else 0
         self.skipped = parent.skipped if parent else False
         self.link = tag == "a" or bool(parent and parent.link)
         self.main = tag in ("article", "main")
@@ -134,7 +137,8 @@ def text_nodes(page: str) -> list[tuple[_Element, str, int]]:
             stop = n if not end else page.find(">", end.end())
             at = n if stop < 0 or not end else stop + 1
             continue
-        top = element
+        if top.depth < DEEPEST:
+            top = element
     return out
 
 
@@ -162,9 +166,10 @@ def _chain(e: _Element) -> list[_Element]:
 def main_text(page: str | None, part: float = 0.5) -> str:
     """The text of the main content, one space between words and blocks; empty if there is none or the page is null."""
     nodes = text_nodes(page or "")
-    full = [(e, s) for e, s, _ in nodes if s.strip()]
-    if not full:
+    places = [i for i, (_, s, _) in enumerate(nodes) if s.strip()]
+    if not places:
         return ""
+    full = [nodes[i][:2] for i in places]
     # ratios of each path
     sums: dict[str, list[float]] = {}
     for e, s in full:
@@ -201,25 +206,22 @@ def main_text(page: str | None, part: float = 0.5) -> str:
             container = max(mains, key=lambda e: weight[id(e)])
         elif container.tag in ("p", "li", "h1", "h2", "td") and container.parent is not None:
             container = container.parent
-    inside = {id(e) for e, _, _ in nodes if container in _chain(e)}
-    whole = container.tag in ("", "html", "body")
-    if whole:  # no wrapper: from the first content node, or the heading right before it, to the last
-        first, last = content[0], content[-1]
+    lo, hi = 0, len(nodes)
+    if container.tag in ("", "html", "body"):  # no wrapper: from the first content node, or the headings right before it, to the last
+        first = content[0]
         while first and full[first - 1][0].tag in ("h1", "h2", "h3"):
             first -= 1
-        lead, tail = full[first], full[last]
-        span = [i for i, (e, s, _) in enumerate(nodes) if (e, s) == lead], [i for i, (e, s, _) in enumerate(nodes) if (e, s) == tail]
-        lo, hi = span[0][0], span[1][-1]
+        lo, hi = places[first], places[content[-1]] + 1
+    chosen = [x for x in nodes[lo:hi] if container in _chain(x[0])]
     # blocks made of links go
-    text_in: dict[int, list[int]] = {}
-    for i, (e, s, b) in enumerate(nodes):
-        if id(e) in inside and (not whole or lo <= i <= hi):
-            own = text_in.setdefault(b, [0, 0])
-            own[0] += len(s.strip())
-            own[1] += len(s.strip()) if e.link else 0
+    sizes: dict[int, list[int]] = {}
+    for e, s, b in chosen:
+        own = sizes.setdefault(b, [0, 0])
+        own[0] += len(s.strip())
+        own[1] += len(s.strip()) if e.link else 0
     blocks: dict[int, list[str]] = {}
-    for i, (e, s, b) in enumerate(nodes):
-        if b in text_in and id(e) in inside and (not whole or lo <= i <= hi) and not (text_in[b][1] and text_in[b][1] >= 0.8 * text_in[b][0] and _in_list(e)):
+    for e, s, b in chosen:
+        if not (sizes[b][1] and sizes[b][1] >= 0.8 * sizes[b][0] and _in_list(e)):
             blocks.setdefault(b, []).append(s)
     return " ".join(x for x in (" ".join("".join(parts).split()) for parts in blocks.values()) if x)
 

@@ -170,6 +170,7 @@ def test_html(spark):
     assert main_text(page) == want
     plain = "<body><div id=menu><a href=x>One</a> <a href=y>Two</a></div><div><p>A long text, with many words; it goes on.<p>And on, for a second paragraph.</div><div class=footer>Imprint</div>"
     assert main_text(plain) == "A long text, with many words; it goes on. And on, for a second paragraph."
+    assert main_text("<div>some text, here" * 2000).count("some text, here") > 1600
     rows = [(1, "u", page), (2, "u", None), (3, None, ""), (None, "u", "<p>a < b"), (5, "u", "<!-- x"), (6, "u", "<script>"), (6, "u", "<div>" * 3000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
     got = extract(pages).collect()
