@@ -93,17 +93,19 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, l2: float, swap_weight: flo
     n = len(texts)
     rate = float(np.clip(labels.mean() if n else 0.5, 1e-3, 1 - 1e-3))
     bias = float(np.log(rate / (1 - rate)))
-    flat = np.concatenate(texts) if n else np.zeros(0, np.uint64)
-    keys, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    flat = np.sort(np.concatenate(texts)) if n else np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    keys, counts = flat[first], np.diff(np.append(first, len(flat)))
+    del flat
     old, new = swaps()
-    kept = np.flatnonzero((counts >= min_docs) | np.isin(keys, old))
-    if not len(kept) or labels.min() == labels.max():
+    keys = keys[(counts >= min_docs) | np.isin(keys, old)]
+    if not len(keys) or labels.min() == labels.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), bias)
-    place = np.full(len(keys), -1)
-    place[kept] = np.arange(len(kept))
-    row, col = np.repeat(np.arange(n), [len(t) for t in texts]), place[inverse]
-    row, col = row[col >= 0], col[col >= 0]
-    keys = keys[kept]
+    found = []
+    for text in texts:
+        at = np.minimum(np.searchsorted(keys, text), len(keys) - 1)
+        found.append(at[keys[at] == text].astype(np.int32))
+    row, col = np.repeat(np.arange(n), [len(c) for c in found]), np.concatenate(found)
     # differences between a text and its swapped form: -1 for each term that goes, +1 for the one that comes
     at = {int(k): i for i, k in enumerate(keys)}
     to = {at[int(a)]: at[int(b)] for a, b in zip(old, new, strict=True) if int(a) in at and int(b) in at}
