@@ -28,6 +28,9 @@ def ready(spark: SparkSession) -> None:
     if home not in paths:
         env["PYTHONPATH"] = os.pathsep.join([home, *paths])
     env["OMP_NUM_THREADS"] = env["OPENBLAS_NUM_THREADS"] = "1"
+    # arrays above 4 MB go back to the system when they are freed
+    env["ARROW_DEFAULT_MEMORY_POOL"] = "system"
+    env["MALLOC_MMAP_THRESHOLD_"], env["MALLOC_TRIM_THRESHOLD_"], env["MALLOC_ARENA_MAX"] = "4194304", "16777216", "2"
 
 
 class Scratch:

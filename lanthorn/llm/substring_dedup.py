@@ -9,10 +9,11 @@ reach are the repeated windows, and paths of them are the maximal repeats. The t
 - Anchors that one document alone has can't lead to a repeat. A first pass counts anchors and returns a bitmap of fixed
   size of those that several documents have; it may let others pass too.
 - The rest is partitioned by prefixes of the anchor's hash. Their number of bits follows the number of input partitions, so
-  that a group fits in memory. Within a batch of documents, a run's windows that a smaller document of the batch has too are
+  that a group fits in memory. Within a quarter of a million windows of a task, those that a smaller document among them has too are
   decided at once, and only the others travel; so a passage that a third of all documents share sends a few rows from
-  each batch to its group.
-- In a group the depth-50 nodes are (anchor, window fingerprint): 128 bits together. The smallest document of a node keeps it.
+  each task to its group.
+- A group of more than a quarter of a million windows, as of an anchor in a line that most documents have, is split further by a
+  longer prefix. In a group the depth-50 nodes are (anchor, window fingerprint): 128 bits together. The smallest document of a node keeps it.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from lanthorn.llm.textcore import NON_SPACE, Group, groups, mix, row_grams, utf8
 
 WINDOW = 50
 GRAM = 10
+#: Windows of so many that a task looks at together before it sends them on.
+TOGETHER = 1 << 18
 
 
 def _least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +86,16 @@ def _shared_anchors(docs: DataFrame, bits: int, window: int, gram: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for group in groups(batch.column(1), NON_SPACE):
                 at, low, _, _ = windows(group, window, gram)
-                doc = ids[group.lo + np.searchsorted(group.ptr, at, "right") - 1]
-                pair = np.unique(np.stack([low, doc.astype(np.int64).view(np.uint64)]), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
-                entry = np.empty(pair.shape[1], np.dtype([("hash", "<u4"), ("doc", "<i8")]))
-                entry["hash"], entry["doc"] = inner_hash(pair[0], bits), pair[1].view(np.int64)
-                yield from records(["block", "blob"], in_blocks(pair[0], bits, entry), [pa.int32(), pa.binary()])
+                doc = ids[group.lo + np.searchsorted(group.ptr, at, "right") - 1].astype(np.int64)
+                for _ in range(2):  # neighbours share anchors; after that, sorted ones
+                    new = np.ones(len(low), bool)
+                    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+                    low, doc = low[new], doc[new]
+                    order = np.lexsort((low, doc))
+                    low, doc = low[order], doc[order]
+                entry = np.empty(len(low), np.dtype([("hash", "<u4"), ("doc", "<i8")]))
+                entry["hash"], entry["doc"] = inner_hash(low, bits), doc
+                yield from records(["block", "blob"], in_blocks(low, bits, entry), [pa.int32(), pa.binary()])
 
     def count(batches):
         def rows():
@@ -148,30 +156,37 @@ def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                 row = np.searchsorted(group.ptr, at, "right") - 1
                 first, size = _runs(at, place)
                 parts.append((low, mark, ids[group.lo + row], signatures(group)[row], at - group.ptr[row], np.repeat(np.arange(len(first)), size)))
-            if not sum(len(p[0]) for p in parts):
-                continue
-            low, mark, doc, sig, start = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            shift = np.cumsum([0, *(int(p[5][-1]) + 1 if len(p[5]) else 0 for p in parts)])
-            run = np.concatenate([p[5] + s for p, s in zip(parts, shift[:-1], strict=True)])
-            first = _first_of(low, mark, doc)
-            yield from _decided(~first, start, run, doc, sig)
-            # what is left of a run may be in several pieces
-            keep = np.flatnonzero(first)
-            new = np.concatenate([[True], (run[keep][1:] != run[keep][:-1]) | (start[keep][1:] != start[keep][:-1] + 1)])
-            begin = np.flatnonzero(new)
-            head = np.empty(len(begin), _HEAD)
-            lead = keep[begin]
-            head["anchor"], head["doc"], head["sig"], head["start"] = low[lead], doc[lead], sig[lead], start[lead]
-            head["size"] = np.diff(np.concatenate([begin, [len(keep)]]))
-            block = (head["anchor"] >> np.uint64(64 - bits)).astype(np.int64)
-            order, piece = np.argsort(block, kind="stable"), np.cumsum(new) - 1
-            by = np.argsort(block[piece], kind="stable")
-            marks, head = mark[keep][by], head[order]
-            ends = np.searchsorted(block[order], np.arange((1 << bits) + 1))
-            mark_ends = np.searchsorted(block[piece][by], np.arange((1 << bits) + 1))
-            rows = ((b, np.int64(ends[b + 1] - ends[b]).tobytes() + head[ends[b] : ends[b + 1]].tobytes() + marks[mark_ends[b] : mark_ends[b + 1]].tobytes()) for b in range(1 << bits) if ends[b + 1] > ends[b])
-            for out in records(["block", "blob"], rows, [pa.int32(), pa.binary()], 256):
-                yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(len(out), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["block", "blob", *_COVER])
+                if sum(len(p[0]) for p in parts) >= TOGETHER:
+                    yield from settle(parts)
+                    parts = []
+            yield from settle(parts)
+
+    def settle(parts):
+        """Decides what these runs decide among themselves, and sends the rest."""
+        if not sum(len(p[0]) for p in parts):
+            return
+        low, mark, doc, sig, start = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        shift = np.cumsum([0, *(int(p[5][-1]) + 1 if len(p[5]) else 0 for p in parts)])
+        run = np.concatenate([p[5] + s for p, s in zip(parts, shift[:-1], strict=True)])
+        first = _first_of(low, mark, doc)
+        yield from _decided(~first, start, run, doc, sig)
+        # what is left of a run may be in several pieces
+        keep = np.flatnonzero(first)
+        new = np.concatenate([[True], (run[keep][1:] != run[keep][:-1]) | (start[keep][1:] != start[keep][:-1] + 1)])
+        begin = np.flatnonzero(new)
+        head = np.empty(len(begin), _HEAD)
+        lead = keep[begin]
+        head["anchor"], head["doc"], head["sig"], head["start"] = low[lead], doc[lead], sig[lead], start[lead]
+        head["size"] = np.diff(np.concatenate([begin, [len(keep)]]))
+        block = (head["anchor"] >> np.uint64(64 - bits)).astype(np.int64)
+        order, piece = np.argsort(block, kind="stable"), np.cumsum(new) - 1
+        by = np.argsort(block[piece], kind="stable")
+        marks, head = mark[keep][by], head[order]
+        ends = np.searchsorted(block[order], np.arange((1 << bits) + 1))
+        mark_ends = np.searchsorted(block[piece][by], np.arange((1 << bits) + 1))
+        rows = ((b, np.int64(ends[b + 1] - ends[b]).tobytes() + head[ends[b] : ends[b + 1]].tobytes() + marks[mark_ends[b] : mark_ends[b + 1]].tobytes()) for b in range(1 << bits) if ends[b + 1] > ends[b])
+        for out in records(["block", "blob"], rows, [pa.int32(), pa.binary()], 256):
+            yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(len(out), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["block", "blob", *_COVER])
 
     def _decided(flag, start, run, doc, sig):
         owner, begin, size = _stretches(flag, start, run)
@@ -199,10 +214,20 @@ def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                 heads.append(np.frombuffer(blob, _HEAD, n, 8))
                 marks.append(np.frombuffer(blob, np.uint64, offset=8 + n * _HEAD.itemsize))
             head, mark = np.concatenate(heads), np.concatenate(marks)
-            run = np.repeat(np.arange(len(head)), head["size"])
-            start = head["start"][run] + (np.arange(len(run)) - np.repeat(np.cumsum(head["size"]) - head["size"], head["size"]))
-            first = _first_of(head["anchor"][run], mark, head["doc"][run])
-            owner, begin, size = _stretches(~first, start, run)
+            heads = marks = parts = None
+            run = np.repeat(np.arange(len(head), dtype=np.int32), head["size"])
+            # a large group, as of an anchor that many documents share, is split by the longer prefix: bits of the fingerprint
+            again = np.zeros(len(mark), bool)
+            pieces = 1 << max(0, (len(mark) // TOGETHER).bit_length())
+            for k in range(pieces):
+                some = np.flatnonzero((mark & np.uint64(pieces - 1)) == np.uint64(k)) if pieces > 1 else np.arange(len(mark))
+                if len(some):
+                    of = run[some]
+                    again[some] = ~_first_of(head["anchor"][of], mark[some], head["doc"][of])
+            at = np.flatnonzero(again)
+            of = run[at]
+            start = head["start"][of] + (at - (np.cumsum(head["size"], dtype=np.int64) - head["size"])[of])
+            owner, begin, size = _stretches(np.ones(len(at), bool), start, of)
             if len(owner):
                 yield pa.RecordBatch.from_arrays([pa.array(head["doc"][owner]), pa.array(head["sig"][owner]), pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32))], _COVER)
         yield from ready_rows
