@@ -8,8 +8,8 @@ compounds). Features are scaled by the log ratio of their smoothed rates under e
 where u are the weights before scaling, scores are log odds and each identity term is replaced by the next one of its category. So a term's own mention
 can't move a score much unless words around it do, which lowers false positives on neutral mentions of groups.
 
-Training uses at most ``max_rows`` labelled rows, those with the smallest hash of their id: a bound on what the driver
-holds (``max_rows`` * ``max_words`` hashes of 8 bytes). Scoring reads every whole text.
+Training uses at most ``max_rows`` labelled rows, those with the smallest hash of their id: that alone bounds what the driver
+holds, 8 bytes for each distinct feature of each of these rows. Training and scoring read every whole text.
 """
 
 from __future__ import annotations
@@ -138,7 +138,7 @@ def _remainder(id_col: str, by: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % by
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_of: int = 4, held_out: int = 2, max_rows: int = 6000, max_words: int = 1500, l2: float = 0.5, swap_weight: float = 5.0, min_docs: int = 2) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_of: int = 4, held_out: int = 2, max_rows: int = 6000, l2: float = 0.5, swap_weight: float = 5.0, min_docs: int = 2) -> Model:
     """Fits the classifier on labelled rows whose crc32(id) mod ``held_out_of`` isn't ``held_out``."""
     ready(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
@@ -154,8 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 order = np.argsort(rows, kind="stable")
                 hashes, ptr = hashes[order], np.searchsorted(rows[order], np.arange(group.hi - group.lo + 1))
                 for r in range(group.hi - group.lo):
-                    distinct = np.unique(hashes[ptr[r] : ptr[r + 1]])
-                    own.append(distinct[np.argsort(distinct * np.uint64(0x9E3779B97F4A7C15))[:max_words]].tobytes())
+                    own.append(np.unique(hashes[ptr[r] : ptr[r + 1]]).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(group.lo, group.hi - group.lo), batch.column(2).slice(group.lo, group.hi - group.lo), pa.array(own, pa.binary())], ["id", "y", "words"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -224,6 +224,21 @@ def test_toxicity(spark):
     assert len(train(docs, labels, max_rows=50).keys) <= 50 * 1500
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    rng = random.Random(4)
+    long = " ".join(f"{rng.getrandbits(60):x}" for _ in range(1500))
+    rows = [(i, long) for i in range(8)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    got = train(table(spark, rows), labels)
+    assert np.isin(textcore.span_hashes(*whole_words(long)), got.keys).all() and len(got.keys) > 1500
+
+
+def whole_words(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends = textcore.spans(data, np.array([0, len(data)]), textcore.ALNUM)
+    return data, starts, ends, textcore.LOWER
+
+
 def test_swap_penalty_evens_out_identity_terms():
     a, b = (k[:1] for k in swaps())
     texts = [np.sort(np.concatenate([a, [np.uint64(i + 1)]])) for i in range(60)] + [np.sort(np.concatenate([b, [np.uint64(i + 1)]])) for i in range(60)]
