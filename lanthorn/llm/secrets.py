@@ -1,9 +1,11 @@
 """Secret scan: three fixed patterns, and strings that a primed compressor can't shorten.
 
-For the second part, candidates are long unbroken runs of base64-like characters that follow a sensitive word within
-``reach`` bytes. A candidate's *marginal bytes* are the size that it adds to the zstandard frame of its surroundings, with a
-dictionary of common identifiers. What costs at least ``least_ratio`` bytes for each of its own is reported as kind
-``novel``: words, identifiers, paths and strings that occur nearby cost far less than random ones.
+For the second part, candidates are all unbroken runs of 8 or more base64-like characters that start within 40 bytes of a
+sensitive word, or of the end of the identifier that holds it, line ends included. A candidate's *marginal bytes* are the size
+that it adds to the zstandard frame of its surroundings, with a dictionary of common identifiers. What costs at least
+``least_ratio`` bytes for each of its own (0.02 more for each byte that a run is shorter than 20) is reported as kind ``novel``:
+words, identifiers, paths and strings that occur nearby cost far less than random ones. Runs of under 20 that are nothing but
+words (letters of one case, a capital first, marks between) are left alone: letters cost a frame this small the same in any order.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-# Words after which a long string may be a secret.
+# Words after which a string may be a secret.
 SENSITIVE = ["key", "secret", "token", "auth", "bearer", "credential", "private", "passphrase", "password", "passwd", "pwd", "signature", "cookie", "session"]
 # The identifier dictionary.
 IDENTIFIERS = [
@@ -35,7 +37,11 @@ IDENTIFIERS = [
     "https://", "http://", "www.", ".com/", ".org/", "index.html", "node_modules", "src/main/java", "the", "and", "for", "with", "that",
 ]
 
-_SENSITIVE = re.compile(rb"(?i:" + "|".join(SENSITIVE).encode() + rb")[^\n]{0,40}?([A-Za-z0-9+/_=.-]{20,})")
+_SENSITIVE = re.compile(rb"(?i:" + "|".join(SENSITIVE).encode() + rb")")
+_REACH, _SHORTEST, _USUAL = 40, 8, 20
+_REST = re.compile(rb"[A-Za-z0-9+/_.-]*")
+_WORDS = re.compile(rb"[A-Za-z]?(?:[a-z]*|[A-Z]*)(?:[/_.+-]+[A-Za-z]?(?:[a-z]*|[A-Z]*))*")
+_RUN = re.compile(rb"[A-Za-z0-9+/][A-Za-z0-9+/_.-]{%d,}={0,2}" % (_SHORTEST - 1))
 _LIKELY = tuple(w.encode() for w in SENSITIVE)
 _START = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
@@ -56,6 +62,30 @@ def marginal_bytes(raw: bytes, start: int, end: int, around: int = 256) -> int:
     return max(0, len(own.compress(near + b"\n" + raw[start:end])) - len(own.compress(near)))
 
 
+def _candidates(raw: bytes) -> list[tuple[list[int], int]]:
+    """Every run in the reach of a sensitive word: where it starts, also behind the last such word in it, and its end."""
+    out: list[tuple[list[int], int]] = []
+    done = rest = 0
+    for word in _SENSITIVE.finditer(raw):
+        at = word.end()
+        if at > rest:
+            rest = _REST.match(raw, at).end()
+        if at < done:  # in a run already taken
+            near = raw[at : at + _SHORTEST]
+            out[-1] = ([out[-1][0][0], at + len(near) - len(near.lstrip(b"_.-"))], done)
+        at, stop = max(at, done), min(len(raw), rest + _REACH + _SHORTEST)
+        while m := _RUN.search(raw, at, stop):
+            m = _RUN.match(raw, m.start())
+            out.append(([m.start()], m.end()))
+            at = done = m.end()
+    return out
+
+
+def _least(size: int, least_ratio: float) -> float:
+    """Short strings must cost more for each byte: what any new match or literal run costs weighs more in them."""
+    return least_ratio + 0.02 * max(0, _USUAL - size)
+
+
 def find(raw: bytes, least_ratio: float = 0.62) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, marginal bytes) of the secrets in a UTF-8 text, by start and then kind; places are bytes."""
     low, out = raw.lower(), []
@@ -66,10 +96,11 @@ def find(raw: bytes, least_ratio: float = 0.62) -> list[tuple[int, int, str, int
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(raw)]
     spans = [(a, b, k, marginal_bytes(raw, a, b)) for a, b, k in out]
     if any(w in low for w in _LIKELY):
-        for m in _SENSITIVE.finditer(raw):
-            a, b = m.span(1)
-            if not any(x < b and a < y for x, y, _ in out) and (cost := marginal_bytes(raw, a, b)) >= least_ratio * (b - a):
-                spans.append((a, b, "novel", cost))
+        for starts, b in _candidates(raw):
+            for a in starts:
+                if b - a >= _SHORTEST and not (b - a < _USUAL and _WORDS.fullmatch(raw, a, b)) and not any(x <= a and b <= y for x, y, _ in out) and (cost := marginal_bytes(raw, a, b)) >= _least(b - a, least_ratio) * (b - a):
+                    spans.append((a, b, "novel", cost))
+                    break
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

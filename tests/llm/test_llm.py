@@ -161,6 +161,15 @@ def test_secrets(spark):
     assert find(b"x" * 2_000_000) == []
 
 
+def test_secrets_in_reach():
+    long, short, middle = "Zx8vQ2mK9pL4tR7wY1nB6cD3", "Zx8vQ2mK9pL4tR7w", "Zx8vQ2mK9pL4tR7wY1"
+    cases = [(f'client_secret_for_integration_tests = "{long}"', long), (f'pwd = "{short}"', short), (f'private_key: "{middle}"', middle), (f"the secret is:\n  {short}\nend", short), (f"key one {short} two 9GhT5rWq2Lm8Nd3 end", short), (f"key one {short} two 9GhT5rWq2Lm8Nd3 end", "9GhT5rWq2Lm8Nd3")]
+    for text, want in cases:
+        assert want in [text[a:b] for a, b, _, _ in find(text.encode())], text
+    assert find(b"the key observation about anything follows from its description, and Everything else") == []
+    assert len(find(b"key" * 700_000)) <= 1  # in linear time
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><script>var a="<p>x</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav>
     <div class="cookie-notice">We use cookies, lots of them, really.</div><article><h1>Title &amp; more</h1><p>First  paragraph,\n with <b>bold</b>&nbsp;text.</p><p>Short.</p>
