@@ -4,9 +4,10 @@
    class, id or role names say advert, notice, comment and the like are left out, with all that is in them.
 2. For each path: text length and punctuation marks per node. In page order, both series are smoothed with a Gaussian window
    and fused by multiplication.
-3. Nodes above a threshold (a part of the fused series' standard deviation) are content. The deepest element that holds
-   nearly all their text is the container, widened to an enclosing article or main element; its remaining text nodes belong
-   to the text too, so that short paragraphs and headings aren't lost. Blocks made of links are left out.
+3. Nodes above a threshold (a part of the fused series' standard deviation) are content. The deepest element around all of
+   them is the container, widened to an enclosing article or main element. Without one, the text runs from the first content
+   node to the last, and takes in the rest of the deepest element with 85% of the content. Nodes between belong to the text too,
+   so that short paragraphs and headings aren't lost. Blocks made of links are left out.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,15 +41,26 @@ PUNCTUATION = ",.;:!?¡¿…、。，！？"
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?][^>]*>")
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Za-z]+")
+_SCOPED = frozenset().union(*SIBLINGS.values(), *SCOPES.values())
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "depth", "skipped", "main", "link")
+    # begin and end: the numbers of the element and of the last one in it, in page order; within: the nearest article or main
+    # element; open_p: the paragraph that a block would close; outermost: for each key of SIBLINGS, what its start tag closes
+    __slots__ = ("tag", "parent", "path", "depth", "skipped", "main", "link", "listed", "begin", "end", "within", "open_p", "outermost")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str = "") -> None:
         self.tag, self.parent = tag, parent
-        self.path = f"{parent.path}/{tag}" if parent else tag
         self.depth = parent.depth + 1 if parent else 0
+        self.path = self.begin = self.end = 0
+        self.listed = tag in ("li", "ul", "ol", "dl", "table") or bool(parent and parent.listed)
+        self.open_p = self if tag == "p" else parent.open_p if parent and tag in INLINE else None
+        self.outermost = parent.outermost if parent else {}
+        if tag in _SCOPED:
+            self.outermost = {k: e for k, e in self.outermost.items() if tag not in SCOPES[k]}
+            for k in SIBLINGS:
+                if tag in SIBLINGS[k] and tag not in SCOPES[k]:
+                    self.outermost.setdefault(k, self)
         self.skipped = parent.skipped if parent else False
         self.link = tag == "a" or bool(parent and parent.link)
         self.main = tag in ("article", "main")
@@ -61,28 +76,29 @@ class _Element:
                     self.main = True
                 else:
                     names.update(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()))
-        inside = self._inside_main()
+        inside = parent.within if parent else None
+        self.within = self if self.main else inside
         if tag in SKIPPED or tag == "header" and not inside or not self.main and tag not in ("html", "body") and names & BOILERPLATE:
             self.skipped = True
 
-    def _inside_main(self) -> bool:
-        e = self.parent
-        while e:
-            if e.main:
-                return True
-            e = e.parent
-        return False
-
 
 def text_nodes(page: str) -> list[tuple[_Element, str, int]]:
     """(element, decoded text, block) of every text node outside skipped elements."""
     root = _Element("", None)
     top, out, block, at, n = root, [], 0, 0, len(page)
+    made, paths, opened = 0, {}, Counter()
 
     def add(raw: str) -> None:
         if raw and not top.skipped:
             out.append((top, html.unescape(raw) if "&" in raw else raw, block))
 
+    def close(e: _Element) -> None:
+        nonlocal top
+        while top is not e.parent:
+            top.end = made
+            opened[top.tag] -= 1
+            top = top.parent
+
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -107,26 +123,16 @@ def text_nodes(page: str) -> list[tuple[_Element, str, int]]:
         if tag not in INLINE:
             block += 1
         if m[1]:
-            e = top
-            while e is not root and e.tag != tag:
-                e = e.parent
-            if e is not root:
-                top = e.parent
+            if opened[tag]:
+                e = top
+                while e.tag != tag:
+                    e = e.parent
+                close(e)
             continue
-        if tag in CLOSES_P:
-            e = top
-            while e is not root and e.tag != "p" and (e.tag in INLINE):
-                e = e.parent
-            if e.tag == "p":
-                top = e.parent
-        if tag in SIBLINGS:
-            e, last = top, None
-            while e is not root and e.tag not in SCOPES[tag]:
-                if e.tag in SIBLINGS[tag]:
-                    last = e
-                e = e.parent
-            if last is not None:
-                top = last.parent
+        if tag in CLOSES_P and top.open_p:
+            close(top.open_p)
+        if tag in SIBLINGS and tag in top.outermost:
+            close(top.outermost[tag])
         if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             if tag == "br" and not top.skipped:
                 out.append((top, "\n", block))
@@ -138,7 +144,13 @@ def text_nodes(page: str) -> list[tuple[_Element, str, int]]:
             at = n if stop < 0 or not end else stop + 1
             continue
         if top.depth < DEEPEST:
+            made += 1
+            element.begin = made
+            element.path = paths.setdefault((top.path, tag), len(paths) + 1)
+            opened[tag] += 1
             top = element
+    while top is not None:
+        top.end, top = made, top.parent
     return out
 
 
@@ -155,12 +167,8 @@ def _smoothed(series: list[float], radius: int = 1) -> list[float]:
     return out
 
 
-def _chain(e: _Element) -> list[_Element]:
-    out = []
-    while e is not None:
-        out.append(e)
-        e = e.parent
-    return out
+def _holds(outer: _Element, e: _Element) -> bool:
+    return outer.begin <= e.begin <= outer.end
 
 
 def main_text(page: str | None, part: float = 0.5) -> str:
@@ -171,7 +179,7 @@ def main_text(page: str | None, part: float = 0.5) -> str:
         return ""
     full = [nodes[i][:2] for i in places]
     # ratios of each path
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for e, s in full:
         own = sums.setdefault(e.path, [0, 0, 0])
         own[0] += 1
@@ -184,35 +192,30 @@ def main_text(page: str | None, part: float = 0.5) -> str:
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     least = min(part * spread, max(fused)) if spread > 0 else max(fused)
     content = [i for i, x in enumerate(fused) if x >= least and not full[i][0].link] or [max(range(len(fused)), key=fused.__getitem__)]
-    # the deepest element that holds nearly all of the content
-    weight: dict[int, float] = {}
-    elements: dict[int, _Element] = {}
-    total = 0.0
-    for i in content:
-        w = fused[i] * len(full[i][1])
-        total += w
-        for e in _chain(full[i][0]):
-            weight[id(e)] = weight.get(id(e), 0.0) + w
-            elements[id(e)] = e
-    holding = [e for k, e in elements.items() if weight[k] >= 0.85 * total and e.tag not in INLINE]
-    container = max(holding, key=lambda e: len(_chain(e)))
-    for e in _chain(container):
-        if e.main:
-            container = e
-            break
-    else:
-        mains = [e for e in elements.values() if e.main]
-        if mains:
-            container = max(mains, key=lambda e: weight[id(e)])
-        elif container.tag in ("p", "li", "h1", "h2", "td") and container.parent is not None:
-            container = container.parent
+    # the element around all of the content, and the deepest one that holds nearly all of it
+    content_elements = sorted((full[i][0].begin, n, fused[i] * len(full[i][1])) for n, i in enumerate(content))
+    begins = [b for b, _, _ in content_elements]
+    sums_before = [0.0, *accumulate(w for _, _, w in content_elements)]
+    total = sums_before[-1]
+    container = full[content[content_elements[0][1]]][0]
+    while not container.begin <= begins[-1] <= container.end or container.tag in INLINE:
+        container = container.parent
+    inner = full[content[content_elements[min(len(begins) - 1, bisect_left(sums_before, total / 2, 1) - 1)][1]]][0]
+    while inner is not container and (inner.tag in INLINE or sums_before[bisect_right(begins, inner.end)] - sums_before[bisect_left(begins, inner.begin)] < 0.85 * total):
+        inner = inner.parent
+    if container.within:
+        container = inner = container.within
+    elif inner.tag in ("p", "li", "h1", "h2", "td") and inner.parent is not None:
+        inner = inner.parent
+        container = inner if _holds(inner, container) else container
     lo, hi = 0, len(nodes)
-    if container.tag in ("", "html", "body"):  # no wrapper: from the first content node, or the headings right before it, to the last
+    if inner is not container or container.tag in ("", "html", "body"):  # from the first content node, or the headings right before it, to the last
         first = content[0]
         while first and full[first - 1][0].tag in ("h1", "h2", "h3"):
             first -= 1
         lo, hi = places[first], places[content[-1]] + 1
-    chosen = [x for x in nodes[lo:hi] if container in _chain(x[0])]
+    whole = inner is not container and inner.tag not in ("", "html", "body")
+    chosen = [x for i, x in enumerate(nodes) if lo <= i < hi and _holds(container, x[0]) or whole and _holds(inner, x[0])]
     # blocks made of links go
     sizes: dict[int, list[int]] = {}
     for e, s, b in chosen:
@@ -221,15 +224,11 @@ def main_text(page: str | None, part: float = 0.5) -> str:
         own[1] += len(s.strip()) if e.link else 0
     blocks: dict[int, list[str]] = {}
     for e, s, b in chosen:
-        if not (sizes[b][1] and sizes[b][1] >= 0.8 * sizes[b][0] and _in_list(e)):
+        if not (sizes[b][1] and sizes[b][1] >= 0.8 * sizes[b][0] and e.listed):
             blocks.setdefault(b, []).append(s)
     return " ".join(x for x in (" ".join("".join(parts).split()) for parts in blocks.values()) if x)
 
 
-def _in_list(e: _Element) -> bool:
-    return any(x.tag in ("li", "ul", "ol", "dl", "table") for x in _chain(e))
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of pages: ``id_col``, ``url_col``, text, n_chars (code points).
 

@@ -187,6 +187,13 @@ def test_html(spark):
     assert len(got) == 7 and extract(pages.limit(0)).collect() == []
 
 
+def test_html_keeps_all_selected_nodes():
+    long = "A long paragraph, with marks; it goes on."
+    page = "<div><h1>T</h1><div><p>lead</p></div><div>" + f"<p>{long}</p>" * 20 + "</div></div>"
+    assert main_text(page) == " ".join(["T lead", *[long] * 20])
+    assert main_text("<div>some text, here" * 2000).count("some text, here") == 2000
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
