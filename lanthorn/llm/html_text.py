@@ -34,8 +34,6 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "thead": {"table"}}
 # Words in class, id or role names of what isn't the article.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead topbar footer bottom colophon copyright comment comments commentlist respond replies reply discussion disqus share sharing social follow related recommended recommendations newsletter subscribe subscription signup login search widget toolbar skip tags tagcloud contentinfo complementary".split())
-#: Elements nested deeper count as part of their parents, as browsers have it too.
-DEEPEST = 256
 PUNCTUATION = ",.;:!?¡¿…、。，！？"
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?][^>]*>")
@@ -143,12 +141,11 @@ def text_nodes(page: str) -> list[tuple[_Element, str, int]]:
             stop = n if not end else page.find(">", end.end())
             at = n if stop < 0 or not end else stop + 1
             continue
-        if top.depth < DEEPEST:
-            made += 1
-            element.begin = made
-            element.path = paths.setdefault((top.path, tag), len(paths) + 1)
-            opened[tag] += 1
-            top = element
+        made += 1
+        element.begin = made
+        element.path = paths.setdefault((top.path, tag), len(paths) + 1)
+        opened[tag] += 1
+        top = element
     while top is not None:
         top.end, top = made, top.parent
     return out

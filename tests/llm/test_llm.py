@@ -13,7 +13,7 @@ from lanthorn.llm import textcore
 from lanthorn.llm.chat_tree import escape, format_conversations, format_turn, parse_turns, prefix_tree, unescape
 from lanthorn.llm.decontaminate import decontaminate, drop_contaminated, remove_spans
 from lanthorn.llm.embedding_dedup import near_vectors, plan
-from lanthorn.llm.html_text import extract, main_text
+from lanthorn.llm.html_text import extract, main_text, text_nodes
 from lanthorn.llm.jaccard_join import jaccard_components, keep_one
 from lanthorn.llm.language_id import identify
 from lanthorn.llm.packing import Schedule, pack, phases, queues
@@ -194,6 +194,15 @@ def test_html_keeps_all_selected_nodes():
     assert main_text("<div>some text, here" * 2000).count("some text, here") == 2000
 
 
+def test_html_deep_nesting():
+    deep = lambda inner: "<div>" * 300 + inner + "</div>" * 300
+    page = f"<main><article><p>The first text, long enough.</p>{deep('deep, too')}<p>The last text, long enough.</p></article></main>"
+    assert main_text(page) == "The first text, long enough. deep, too The last text, long enough."
+    assert {e.tag for e, s, _ in text_nodes("<article>" + deep("in") + "<p>last</p></article>") if s == "last"} == {"p"}
+    assert [e.path for e, s, _ in text_nodes("<article>" + deep("in") + "last</article>") if s == "last"] == [1]
+    assert "Buy" not in main_text(f"<article><p>Text, long enough.</p>{deep('<div class=ad>Buy, now, this thing.</div>in, here')}</article>")
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
