@@ -106,6 +106,16 @@ def snippet_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", hash_snippet(F.substring("text", 1, 200)).alias("digest"))
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus(spark, sf_dir)
+    return kept_findings(files, raw_findings(files))
+
+
+def finding_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of the snippets of all findings, as allowlists name them."""
+    return _kept(spark, sf_dir).select(*_COLUMNS, "snippet", hash_snippet(F.col("snippet")).alias("digest"))
+
+
 def queries() -> dict[str, Query]:
     rules = {
         "high_entropy_literal": "obf.high-entropy-literal", "bidi_control": "obf.bidi-control", "homoglyph_identifier": "obf.homoglyph-identifier", "encoded_array": "obf.encoded-array-fingerprint",
@@ -114,5 +124,5 @@ def queries() -> dict[str, Query]:
         "manifest_scripts": "obf.manifest-install-script", "python_setup": "obf.python-setup-side-effect", "perl_makefile": "obf.perl-makefile-side-effect", "cargo_build": "obf.cargo-build-rs-network",
         "workflow_pipe": "obf.gha-curl-pipe-shell", "dockerfile_pipe": "obf.dockerfile-curl-pipe-shell",
     }
-    plain = [long_line_documents, long_line_pages, language_counts, severity_counts, pass_or_fail, report_summary, report_annotations, directives, suppressed_by_directive, allowlisted, changed_lines, top_findings, snippet_hashes]
+    plain = [long_line_documents, long_line_pages, language_counts, severity_counts, pass_or_fail, report_summary, report_annotations, directives, suppressed_by_directive, allowlisted, changed_lines, top_findings, snippet_hashes, finding_hashes]
     return {f.__name__: f for f in plain} | {f"rule_{k}": _rule(v) for k, v in rules.items()}
