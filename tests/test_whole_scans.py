@@ -16,6 +16,25 @@ def kept(spark, data):
     return kept_findings(files, raw_findings(files)).collect()
 
 
+def key(r):
+    return (-r["rank"], -r.score, r.file, r.line, r.detector_ord, r.match_ord)
+
+
+def test_top_of_report(spark, data, kept):
+    got = [(r.file, r.line, r.rule_id) for r in queries.top_of_report(spark, data).collect()]
+    assert got == [(r.file, r.line, r.rule_id) for r in sorted(kept, key=key)[:50]] and len({r for _, _, r in got}) > 1
+
+
 def test_finding_hashes(spark, data, kept):
     got = queries.finding_hashes(spark, data).collect()
     assert sorted((r.file, r.line, r.rule_id, r.digest) for r in got) == sorted((r.file, r.line, r.rule_id, hashlib.sha256(" ".join(r.snippet.split()).encode()).hexdigest()) for r in kept)
+
+
+def test_annotations_of_all_rules(spark, data, kept):
+    assert queries.report_annotations(spark, data).count() == len(kept)
+
+
+def test_suppression_over_all_files(spark, data, kept):
+    marked = {r.path for r in corpus(spark, data).where(F.col("source").contains("lanthorn-disable")).collect()}
+    got = queries.suppressed_by_directive(spark, data).collect()
+    assert sorted((r.file, r.line) for r in got) == sorted((r.file, r.line) for r in kept if r.file in marked)
