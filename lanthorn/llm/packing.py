@@ -9,8 +9,8 @@ placing of a document needs its queue's totals alone.
 With ``targets`` the shares differ from what the sources hold. Queues then run dry one after another: the schedule has
 *phases*, whole numbers of windows at the target shares of the queues that still have tokens.
 
-Queues: sources whose share is less than a token in a window, and sources beyond the ``max_queues`` largest, share one
-queue. So the driver and the tasks hold ``max_queues`` totals, whatever the number of sources.
+Queues: every source whose natural share, or whose target, is a token in a window or more has its own; at most ``length`` do by
+either. The others share one queue, in which each is spread evenly. So the driver and the tasks hold at most 2 * ``length`` + 1 totals.
 
 Tokens are made once and written to the shared folder. Texts are cut where the tokenizer's own pattern cuts them (tests hold
 the ids against those of whole texts), so that a worker tokenizes each distinct part about once.
@@ -253,12 +253,14 @@ class Schedule:
     def pieces(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, place in its queue, length, sequence, offset) of the pieces of documents at places of their queues."""
         out = []
+        lot = max(16, 2048 * 256 // max(256, self.totals.shape[1]))
         for phase in range(len(self.totals)):
             a = np.maximum(start, self.starts[phase][queue]) - self.starts[phase][queue]
             b = np.minimum(start + size, self.starts[phase + 1][queue]) - self.starts[phase][queue]
             doc = np.flatnonzero(b > a)
-            for lo in range(0, len(doc), 2048):
-                out.append(self._in_phase(phase, doc[lo : lo + 2048], queue, a, b))
+            doc = doc[np.argsort(a[doc] / self.totals[phase][queue[doc]], kind="stable")]  # neighbours share windows
+            for lo in range(0, len(doc), lot):
+                out += self._in_phase(phase, doc[lo : lo + lot], queue, a, b)
         if not out:
             return tuple(np.zeros(0, np.int64) for _ in range(5))
         doc, at, n, window, offset = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -266,12 +268,19 @@ class Schedule:
 
     def _in_phase(self, phase: int, doc, queue, a, b):
         own, total = self.totals[phase][queue[doc]], int(self.sums[phase])
-        # the window of a place is within two of its share's; the doubles are exact enough for that
-        low = np.maximum(0, (a[doc].astype(float) * total / own / self.length).astype(np.int64) - 3)
-        high = np.minimum(-(-total // self.length), (b[doc].astype(float) * total / own / self.length).astype(np.int64) + 4)
+        # the window of a place is within two tokens' worth of its share's; the doubles are exact enough for that
+        slack = 3 + 2 * (total // (own * self.length))
+        low = np.maximum(0, (a[doc].astype(float) * total / own / self.length).astype(np.int64) - slack)
+        high = np.minimum(-(-total // self.length), (b[doc].astype(float) * total / own / self.length).astype(np.int64) + slack + 1)
         n = high - low
         who = np.repeat(np.arange(len(doc)), n)
         window = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        order = np.argsort(window, kind="stable")
+        step = max(64, (1 << 21) // self.totals.shape[1])  # windows at a time, so that memory is bounded for many queues
+        cuts = np.searchsorted(window[order], np.unique(window)[::step]) if len(order) else []
+        return [self._in_windows(phase, doc, queue, a, b, who[part], window[part]) for part in np.split(order, cuts[1:])]
+
+    def _in_windows(self, phase: int, doc, queue, a, b, who, window):
         distinct, inverse = np.unique(window, return_inverse=True)
         before, after = self.given(phase, distinct), self.given(phase, distinct + 1)
         ahead = np.cumsum(after - before, axis=1) - (after - before)
@@ -283,7 +292,7 @@ class Schedule:
         return doc[who], from_[some] + self.starts[phase][q], to[some] - from_[some], window[some] + self.first[phase], offset
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", length: int = LENGTH, end: int = END, targets: dict[str, float] | None = None, max_queues: int = 256, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", length: int = LENGTH, end: int = END, targets: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
     """One row for each piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset; ``with_ids`` adds the ids.
 
     tokenizer is the path of a ``tokenizers`` file that every executor can read. A document is its ids and then ``end``; a
@@ -300,18 +309,36 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     tokens = scratch.save(_tokens(rows, tokenizer, end), "tokens", compression="zstd")
     by_part = scratch.save(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "totals")
     by_queue = by_part.groupBy("queue").agg(F.sum("n").alias("n"))
-    largest = [(r.queue, r.n) for r in by_queue.orderBy(F.desc("n"), "queue").limit(max_queues - 1).collect()]
     whole = by_part.agg(F.sum("n")).first()[0] or 0
+    named = F.col("n") >= F.lit(-(-whole // length))
+    positive = {k: w for k, w in (targets or {}).items() if w > 0}
+    wanted = ["s" + k for k, w in positive.items() if w * length >= sum(positive.values())]
+    largest = [(r.queue, r.n) for r in by_queue.where(named).orderBy(F.desc("n"), "queue").collect()]  # at most length of them
     place, totals = queues(largest, whole - sum(n for _, n in largest), length)
+    if small := [k for k in wanted if k not in place]:  # at most length of these too
+        more = [(r.queue, r.n) for r in by_queue.where(F.col("queue").isin(small)).orderBy("queue").collect()]
+        totals = [*totals[:-1], *(n for _, n in more), totals[-1] - sum(n for _, n in more)]
+        place |= {k: len(place) + i for i, (k, _) in enumerate(more)}
     weights = None
     if targets is not None:
         weights = [targets.get(k[1:], 0.0) if k[0] == "s" else 0.0 for k in place] + [0.0]
     own = spark.sparkContext.broadcast(Schedule(phases(totals, weights, length), length))
     number = F.create_map(*[F.lit(x) for pair in place.items() for x in pair]) if place else None
     q = F.coalesce(number[F.col("queue")] if place else F.lit(None).cast("int"), F.lit(len(place)))
-    ahead = Window.partitionBy("q").orderBy("queue", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_part.withColumn("q", q).select("queue", "part", "q", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    placed = tokens.join(bases, ["queue", "part"]).select("id", "q", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = by_part.select("queue", "part", q.alias("q"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("queue")).alias("all"))
+    joined = tokens.join(bases, ["queue", "part"]).withColumn("at", F.col("base") + F.col("before"))
+    placed = joined.where(F.col("q") < len(place)).select("id", "q", "at", "n", "ids")
+    if totals[-1]:  # pooled sources: each is spread evenly over the pool, from a start by its name
+        lots = int(min(4096, max(1, totals[-1] >> 20)))
+        start = (F.xxhash64("queue") % 1000003 + 1000003) % 1000003 / 1000003.0
+        pool = joined.where(F.col("q") == len(place)).withColumn("_key", (F.col("at") + start * F.col("n")) / F.col("all"))
+        pool = pool.withColumn("_lot", F.least(F.lit(lots - 1), F.floor(F.col("_key") * lots).cast("int")))
+        sizes = pool.groupBy("_lot").agg(F.sum("n").alias("_size"))
+        sizes = sizes.select("_lot", F.coalesce(F.sum("_size").over(Window.orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+        within = Window.partitionBy("_lot").orderBy("_key", "queue", "at").rowsBetween(Window.unboundedPreceding, -1)
+        own_place = F.col("_base") + F.coalesce(F.sum("n").over(within), F.lit(0))
+        placed = placed.unionByName(pool.join(F.broadcast(sizes), "_lot").select("id", "q", own_place.alias("at"), "n", "ids"))
 
     def run(batches):
         for batch in batches:

@@ -322,6 +322,22 @@ def test_packing(spark, texts):
     assert pack(docs.limit(0), path).collect() == []
 
 
+def test_packing_many_sources(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = " ".join(["one"] * 49)
+    docs = table(spark, [(i, text) for i in range(300)], source={i: f"s{i:03}" for i in range(300)})
+    for length in (600, 100):  # 300 queues of two tokens a window; 300 sources in the pool
+        got = pack(docs, path, length=length).collect()
+        assert sum(r.length for r in got) == 15_000
+        if length == 600:
+            assert all(len({r.doc_id for r in got if r.sequence_id == w}) == 300 for w in range(25))
+    some = table(spark, [(i, text) for i in range(300)], source={i: "big" if i < 299 else "small" for i in range(300)})
+    got = pack(some, path, length=200, targets={"small": 3.0, "big": 1.0}).collect()
+    assert {r.sequence_id for r in got if r.doc_id == 299} == {0}
+
+
 def test_schedule_closed_form():
     place, totals = queues([("a", 90_000), ("b", 9000), ("c", 30), ("d", 1)], 2, 64)
     assert sum(totals) == 99_033 and totals[-1] * 64 >= sum(totals) or totals[-1] == 0
