@@ -1,45 +1,47 @@
 """Similarity join on word shingles: a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows of the matrix are *classes*, the distinct shingle sets, so that exact copies are one row. Columns are hashed
-shingles, cut into blocks by the leading bits of the hash.
-
-1. Counting. Every task sends, for each block, the shingle hashes it saw; a block's task counts them. It returns a bitmap
-   of the shingles that more than one document has, and the most frequent shingles with their counts. Both have a fixed
-   size (``BITMAP_BITS`` and ``HOT_KEYS``), so they can be broadcast whatever the input is. They steer the work alone:
-   with a full bitmap or more frequent shingles than fit, results stay the same.
-2. Incidence. In each class the shingles are ordered by (frequency, hash). A pair that meets the threshold shares one of
-   the first n - ceil(0.75 n) + 1 of them, so only those enter the product (a bound derived from the set's size).
-3. Product. In each block, the columns that more than one class has yield pairs. A pair stays if sizes and the places of
-   the shared shingle in both orders allow the threshold.
-4. Exact check of pairs on the whole shingle sets.
-
-Only components are asked for, so the product runs twice. The first time a column joins each class to its few smallest
-classes, which links large groups of near copies with few pairs. The second time it yields all pairs *between different
-components*; those that passed the first time aren't repeated. So no link between components is lost, and a group of
-thousands of near copies doesn't yield millions of pairs.
-
-A class id is a 64-bit hash of the set, used together with the set's size.
+Rows of the matrix are *classes*, the distinct shingle sets, so that exact copies are one row. Columns are hashed shingles.
+
+1. Counting. A bitmap of the shingles that more than one document has, and the most frequent shingles with their counts. Both
+   have a fixed size (``BITMAP_BITS`` and ``HOT_KEYS``), so they can be broadcast whatever the input is. They steer the work
+   alone: with a full bitmap, or more frequent shingles than fit, results stay the same.
+2. Incidence. A link needs ceil(percent * n) shingles of a set of n to be shared. A class with fewer is dropped (a bound that
+   its size gives); of the others, the matrix keeps the shared shingles, rarest first. Texts are read for this and for counting,
+   and not again. Two classes that link share one of the first s - ceil(percent * n) + 1 of their s shared shingles: these
+   are the columns in which classes can meet.
+3. Stars. A column names its smallest class as anchor. Each class is compared with the two anchors that it meets in most columns.
+   This links a large group of near copies with two comparisons for each.
+4. Product. What is left is pairs of classes that are in different components and meet in a column. The classes are cut into
+   row blocks of at most about ``BLOCK_ROWS`` rows and ``BLOCK_CELLS`` shingles, by neighbourhood (the largest component that a
+   class meets) and by size, as sets whose sizes differ by more than the threshold can't link. A column is reduced to the
+   blocks that it holds; pairs of blocks of it, if they hold several components, are multiplied. A task accumulates the
+   overlap counts of two blocks in one matrix and drops the pairs below the bound that their sizes give. So no row is made
+   for a pair of classes, only for a pair of blocks, and at the end one for each link found between two components.
+
+Row blocks steer the work alone; every pair of classes that meets in a column is either in one component by then, or multiplied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanthorn.llm.blocks import BITMAP_BITS, Bits, block_bits, by_key, flags, in_blocks, inner_hash, records
+from lanthorn.llm.blocks import Bits, block_bits, by_key, flags, in_blocks, inner_hash, records
 from lanthorn.llm.graph import components
 from lanthorn.llm.scratch import Scratch
-from lanthorn.llm.textcore import LOWER, NON_SPACE, Group, groups, mix, row_grams
+from lanthorn.llm.textcore import LOWER, NON_SPACE, Group, gram_hashes, groups, mix, row_grams
 
 SHINGLE = 5
 #: At most so many frequent shingles, 12 bytes each, are broadcast.
 HOT_KEYS = 1 << 20
 #: Shingles of fewer documents aren't called frequent.
 HOT_FROM = 24
+#: A row block has about so many rows and shingles at most; a larger set is a block of its own.
+BLOCK_ROWS, BLOCK_CELLS = 1024, 1 << 19
 
 
 def shingle_sets(group: Group, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -48,33 +50,43 @@ def shingle_sets(group: Group, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     A row of fewer words has the whole sequence as its one shingle; a row without words has none.
     """
     hashes, at = row_grams(group.hashes, group.ptr, size)
-    rows = group.row_of_word()[at]
-    counts = group.counts
-    for n in range(1, size):
-        short = np.flatnonzero(counts == n)
-        if len(short):
-            first = group.ptr[short]
-            whole, where = row_grams(group.hashes, group.ptr, n, salt=8 * n)
-            hashes = np.concatenate([hashes, whole[np.searchsorted(where, first)]])
-            rows = np.concatenate([rows, short])
-    order = np.lexsort((hashes, rows))
-    hashes, rows = hashes[order], rows[order]
+    cuts = np.searchsorted(at, group.ptr)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        hashes[a:b].sort()
     keep = np.ones(len(hashes), bool)
-    keep[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-    hashes, rows = hashes[keep], rows[keep]
-    return hashes, np.searchsorted(rows, np.arange(len(counts) + 1))
-
-
-def class_ids(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """An id for each set; rows with the same set have the same id."""
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(mix(hashes + np.uint64(0x51ED270B)), out=sums[1:])
+    keep[1:] = hashes[1:] != hashes[:-1]
+    keep[cuts[:-1][cuts[:-1] < len(hashes)]] = True
+    ptr = np.concatenate([[0], np.cumsum(keep)])[cuts]
+    hashes = hashes[keep]
+    counts = group.counts
+    few = np.flatnonzero((counts > 0) & (counts < size))
+    if len(few):
+        whole = np.empty(len(few), np.uint64)
+        for n in np.unique(counts[few]).tolist():
+            some = np.flatnonzero(counts[few] == n)
+            words = group.hashes[group.ptr[few[some]][:, None] + np.arange(n)]
+            whole[some] = gram_hashes(words.ravel(), n, salt=8 * n)[::n]
+        hashes = np.insert(hashes, ptr[few], whole)
+        more = np.zeros(len(ptr), np.int64)
+        more[few + 1] = 1
+        ptr = ptr + np.cumsum(more)
+    return hashes, ptr
+
+
+def class_ids(hashes: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set, as two numbers; rows with the same set have the same."""
+    out = []
     n = np.diff(ptr).astype(np.uint64)
-    return mix((sums[ptr[1:]] - sums[ptr[:-1]]) + n * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    for salt in (np.uint64(0x51ED270B), np.uint64(0xA24BAED4963EE407)):
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(mix(hashes + salt), out=sums[1:])
+        out.append(mix((sums[ptr[1:]] - sums[ptr[:-1]]) + n * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+    return out[0], out[1]
 
 
-def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - (n * percent + 99) // 100 + 1
+def needed(n: np.ndarray, percent: int) -> np.ndarray:
+    """The least overlap of a set of n shingles with any set that it links with."""
+    return (n * percent + 99) // 100
 
 
 class Order:
@@ -126,186 +138,162 @@ def _count(docs: DataFrame, text: str, bits: int) -> Order:
     return Order(bits, {r.block: bytes(r.bitmap) for r in rows}, np.concatenate(hot or none), np.concatenate(levels or none))
 
 
-_ENTRY = np.dtype([("hash", "<u4"), ("cls", "<i8"), ("n", "<i4"), ("at", "<i4")])
+def _incidence(docs: DataFrame, order, percent: int) -> DataFrame:
+    """(id, n, h1, h2, shared) of every row of docs (id, text).
 
+    shared, the shared shingles from the rarest on, is null where the class can't link with another, or where the task has
+    sent it before.
+    """
 
-def _signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    def rows(batches):
+    def run(batches):
+        own, sent = order.value, set()
         for batch in batches:
             for group in groups(batch.column(1), NON_SPACE, LOWER):
                 hashes, ptr = shingle_sets(group)
-                n = np.diff(ptr)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(group.lo, group.hi - group.lo), pa.array(n.astype(np.int64)), pa.array(class_ids(hashes, ptr), mask=n == 0)], ["id", "n", "cls"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(rows, f"id {kind}, n long, cls long")
-
-
-def _columns(docs: DataFrame, text: str, order, bits: int, percent: int) -> DataFrame:
-    """Entries of the matrix in columns that more than one class has: (hash, cls, n, at)."""
-
-    def send(batches):
-        own = order.value
-        for batch in batches:
-            for group in groups(batch.column(0), NON_SPACE, LOWER, 8 << 20):
-                hashes, ptr = shingle_sets(group)
-                cls, n = class_ids(hashes, ptr), np.diff(ptr)
-                row = np.repeat(np.arange(len(n)), n)
-                by = np.lexsort((own.keys(hashes), row))
-                hashes = hashes[by]
-                at = np.arange(len(hashes)) - ptr[row]
-                keep = np.flatnonzero(at < prefix_length(n, percent)[row])
-                keep = keep[own.shared(hashes[keep])]
-                entry = np.empty(len(keep), _ENTRY)
-                entry["hash"] = inner_hash(hashes[keep], bits)
-                entry["cls"], entry["n"], entry["at"] = cls[row[keep]], n[row[keep]], at[keep]
-                yield from records(["block", "blob"], in_blocks(hashes[keep], bits, entry), [pa.int32(), pa.binary()])
-
-    def meet(batches):
-        for block, blobs in by_key(batches):
-            entry = np.concatenate([np.frombuffer(b, _ENTRY) for b in blobs])
-            entry = entry[np.lexsort((entry["n"], entry["cls"], entry["hash"]))]
-            same = (entry["hash"][1:] == entry["hash"][:-1]) & (entry["cls"][1:] == entry["cls"][:-1]) & (entry["n"][1:] == entry["n"][:-1])
-            entry = entry[np.concatenate([[True], ~same])]
-            alike = entry["hash"][1:] == entry["hash"][:-1]
-            entry = entry[np.concatenate([[False], alike]) | np.concatenate([alike, [False]])]
-            for lo in range(0, len(entry), 1 << 16):
-                e = entry[lo : lo + (1 << 16)]
-                column = (np.int64(block) << np.int64(32)) | e["hash"].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(column), pa.array(e["cls"]), pa.array(e["n"]), pa.array(e["at"])], ["column", "cls", "n", "at"])
-
-    blobs = docs.select(text).mapInArrow(send, "block int, blob binary")
-    return blobs.repartition(max(8, (1 << bits) // 2), "block").sortWithinPartitions("block").mapInArrow(meet, "column long, cls long, n int, at int")
-
-
-def possible(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of n and m shingles that share those at i and j of their orders, i and j being the first they share, can meet the threshold."""
-    most = 1 + np.minimum(n - i - 1, m - j - 1)
-    return most * (100 + percent) >= percent * (n + m)
+                h1, h2 = class_ids(hashes, ptr)
+                n, known = np.diff(ptr), np.array(batch.column(0).slice(group.lo, group.hi - group.lo).is_valid())
+                shared = own.shared(hashes)
+                some = np.concatenate([[0], np.cumsum(shared)])[ptr]
+                blobs: list[bytes | None] = [None] * len(n)
+                for r in np.flatnonzero((n > 0) & known & (np.diff(some) >= needed(n, percent))).tolist():
+                    if (key := (int(h1[r]), int(h2[r]))) not in sent:
+                        sent.add(key)
+                        part = hashes[ptr[r] : ptr[r + 1]][shared[ptr[r] : ptr[r + 1]]]
+                        blobs[r] = part[np.argsort(own.keys(part), kind="stable")].tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(group.lo, group.hi - group.lo), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), pa.array(blobs, pa.binary())], ["id", "n", "h1", "h2", "shared"])
 
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, shared binary")
 
-def _whole_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Batches sorted by column -> parts in which every column is whole."""
-    held: dict[str, np.ndarray] | None = None
-    for batch in batches:
-        part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
-        held = part if held is None else {k: np.concatenate([held[k], part[k]]) for k in part}
-        last = int(np.searchsorted(held["column"], held["column"][-1], "left")) if len(held["column"]) else 0
-        if last >= 1 << 14:
-            yield {k: v[:last] for k, v in held.items()}
-            held = {k: v[last:] for k, v in held.items()}
-    if held is not None and len(held["column"]):
-        yield held
 
-
-def _runs(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
-    return first, np.diff(np.concatenate([first, [len(column)]]))
-
-
-_PAIR = "a long, an int, b long, bn int"
-
-
-def _emit(part: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> pa.RecordBatch | None:
-    ok = possible(part["n"][i].astype(np.int64), part["n"][j].astype(np.int64), part["at"][i], part["at"][j], percent)
-    i, j = i[ok], j[ok]
-    if not len(i):
-        return None
-    flip = part["cls"][i] > part["cls"][j]
-    i, j = np.where(flip, j, i), np.where(flip, i, j)
-    pairs = np.unique(np.stack([part["cls"][i], part["n"][i].astype(np.int64), part["cls"][j], part["n"][j].astype(np.int64)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1].astype(np.int32)), pa.array(pairs[2]), pa.array(pairs[3].astype(np.int32))], ["a", "an", "b", "bn"])
-
-
-def star_pairs(percent: int, anchors: int = 8):
-    """Pairs of each class of a column with the column's smallest classes; in columns of few classes these are all pairs."""
-
-    def run(batches):
-        for part in _whole_columns(batches):
-            by = np.lexsort((part["cls"], part["column"]))
-            part = {k: v[by] for k, v in part.items()}
-            first, size = _runs(part["column"])
-            begin, end = np.repeat(first, size), np.repeat(first + size, size)
-            at = np.arange(len(begin))
-            some = []
-            for d in range(anchors):
-                j = np.flatnonzero((begin + d < end) & (begin + d < at))
-                some.append((begin[j] + d, j))
-            out = _emit(part, np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some]), percent)
-            if out is not None:
-                yield out
-
-    return run
-
-
-def cross_pairs(percent: int, block: int = 512):
-    """All pairs of a column whose classes are in different components, in blocks of rows sorted by size."""
+def _entries(rows: DataFrame, percent: int) -> DataFrame:
+    """(column, node): the columns in which a class must meet any class that it links with."""
 
     def run(batches):
-        for part in _whole_columns(batches):
-            by = np.lexsort((part["n"], part["column"]))
-            part = {k: v[by] for k, v in part.items()}
-            for f, size in zip(*_runs(part["column"]), strict=True):
-                comp, n = part["component"][f : f + size], part["n"][f : f + size].astype(np.int64)
-                if (comp == comp[0]).all():
-                    continue
-                for lo in range(0, size, block):
-                    hi = min(size, lo + block)
-                    end = int(np.searchsorted(n, n[hi - 1] * 100 // percent, "right"))
-                    for at in range(lo, end, block):
-                        to = min(end, at + block)
-                        i, j = np.nonzero((comp[lo:hi, None] != comp[None, at:to]) & (np.arange(lo, hi)[:, None] < np.arange(at, to)[None, :]))
-                        if len(i) and (out := _emit(part, i + f + lo, j + f + at, percent)) is not None:
-                            yield out
-
-    return run
-
-
-def _sets(docs: DataFrame, text: str, wanted) -> DataFrame:
-    """The shingle sets of classes that are in a pair (cls, n, shingles), found again in the texts through a bitmap of fixed size."""
-
-    def run(batches):
-        bitmap = wanted.value
         for batch in batches:
-            for group in groups(batch.column(0), NON_SPACE, LOWER):
-                hashes, ptr = shingle_sets(group)
-                cls, n = class_ids(hashes, ptr), np.diff(ptr)
-                at = (cls.view(np.uint64) >> np.uint64(38)).astype(np.int64)
-                for r in np.flatnonzero((n > 0) & ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)):
-                    yield pa.RecordBatch.from_arrays([pa.array([cls[r]]), pa.array([n[r]], pa.int32()), pa.array([hashes[ptr[r] : ptr[r + 1]].tobytes()], pa.binary())], ["cls", "n", "shingles"])
-
-    return docs.select(text).mapInArrow(run, "cls long, n int, shingles binary").dropDuplicates(["cls", "n"])
+            node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            parts = [np.frombuffer(b, np.int64) for b in batch.column(2).to_pylist()]
+            size = np.array([len(p) for p in parts], np.int64) - needed(n, percent) + 1
+            if len(parts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[:k] for p, k in zip(parts, size.tolist(), strict=True)])), pa.array(np.repeat(node, size))], ["column", "node"])
 
+    return rows.select("node", "n", "shared").mapInArrow(run, "column long, node long")
 
-def _bitmap(spark: SparkSession, classes: DataFrame):
-    """64 Mbit in which a class's bit is set; 8 MB at most reach the driver."""
-    bit = F.shiftrightunsigned("cls", 38)
-    rows = classes.select(F.shiftright(bit, 15).alias("k"), bit.bitwiseAND(32767).alias("b")).groupBy("k").agg(F.bitmap_construct_agg("b").alias("m")).collect()
-    whole = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for r in rows:
-        whole[r.k * 4096 : r.k * 4096 + 4096] = np.frombuffer(r.m, np.uint8)
-    return spark.sparkContext.broadcast(whole)
 
-
-def _links(spark: SparkSession, docs: DataFrame, text: str, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs that meet the threshold on their whole sets, as (src, dst)."""
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = _sets(docs, text, _bitmap(spark, ends))
+def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that meet the threshold, as (src, dst)."""
 
     def check(batches):
         for batch in batches:
-            src, dst = [], []
-            for a, x, b, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * common >= percent * (len(s) + len(t) - common):
-                    src.append(a)
-                    dst.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            a, n, b, m = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
+            common = np.array([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            ok = 100 * common >= percent * (n + m - common)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["src", "dst"])
+
+    left = rows.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("shared").alias("x"))
+    right = rows.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("shared").alias("y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "an", "x", "b", "bn", "y").mapInArrow(check, "src long, dst long")
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    """(a, b): each class b with the two anchors a that it meets most often; a class meets as many anchors as it has columns at most."""
+    counted = met.where("node <> anchor").groupBy("node", "anchor").agg(F.count("*").alias("c"))
+    best = counted.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "anchor")), False), 1, 2).alias("best"))
+    return best.select(F.explode("best.anchor").alias("a"), F.col("node").alias("b"))
+
+
+def overlaps(rows: list[np.ndarray], others: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
+    """The product of two row blocks: how many shingles each row shares with each of the others."""
+    out = np.zeros((len(rows), len(others)), np.int32)
+    of_row, of_other = np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.repeat(np.arange(len(others)), [len(x) for x in others])
+    left, right = np.concatenate(rows), np.concatenate(others)
+    order = np.argsort(right, kind="stable")
+    right, of_other = right[order], of_other[order]
+    columns, first, count = np.unique(right, return_index=True, return_counts=True)
+    at = np.minimum(np.searchsorted(columns, left), len(columns) - 1)
+    hit = np.flatnonzero(columns[at] == left)
+    at, of_row = at[hit], of_row[hit]
+    if not len(at):
+        return out
+    used, at = np.unique(at, return_inverse=True)
+    first, count = first[used], count[used]
+    if int(count[at].sum()) * 40 > len(rows) * len(others) * len(used):  # dense: as matrices, some columns at a time
+        step = max(64, cells // (len(rows) + len(others)))
+        entry = np.repeat(np.arange(len(used)), count)
+        whose = of_other[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        for lo in range(0, len(used), step):
+            a, b = np.zeros((len(rows), min(step, len(used) - lo)), np.float32), np.zeros((len(others), min(step, len(used) - lo)), np.float32)
+            some = (at >= lo) & (at < lo + step)
+            a[of_row[some], at[some] - lo] = 1
+            some = (entry >= lo) & (entry < lo + step)
+            b[whose[some], entry[some] - lo] = 1
+            out += (a @ b.T).astype(np.int32)
+        return out
+    n = count[at]
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + cells, "right")))
+        part = n[lo:hi]
+        place = np.repeat(first[at[lo:hi]] - (np.cumsum(part) - part), part) + np.arange(int(part.sum()))
+        cell = np.repeat(of_row[lo:hi], part) * len(others) + of_other[place]
+        out += np.bincount(cell, minlength=out.size).reshape(out.shape).astype(np.int32)
+        lo = hi
+    return out
+
+
+def _products(work: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): components with a link between them, from the rows of pairs of blocks (i, j, block, n, component, shared)."""
+
+    def multiply(own: dict[int, list]) -> tuple[np.ndarray, np.ndarray]:
+        sides = [own[k] for k in sorted(own)]
+        left, right = sides[0], sides[-1]
+        n, m = (np.array([r[0] for r in s], np.int64) for s in (left, right))
+        a, b = (np.array([r[1] for r in s], np.int64) for s in (left, right))
+        common = overlaps([np.frombuffer(r[2], np.uint64) for r in left], [np.frombuffer(r[2], np.uint64) for r in right])
+        i, j = np.nonzero((common * (100 + percent) >= percent * (n[:, None] + m[None, :])) & (a[:, None] != b[None, :]))
+        pairs = np.unique(np.stack([np.minimum(a[i], b[j]), np.maximum(a[i], b[j])]), axis=1)
+        return pairs[0], pairs[1]
 
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("shingles").alias("y"))
-    return pairs.join(left, ["a", "an"]).join(right, ["b", "bn"]).select("a", "x", "b", "y").mapInArrow(check, "src long, dst long")
+    def run(batches):
+        key, own = None, {}
+        for batch in batches:
+            for i, j, block, n, component, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (i, j) != key:
+                    if own:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in multiply(own)], ["src", "dst"])
+                    key, own = (i, j), {}
+                own.setdefault(block, []).append((n, component, shared))
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in multiply(own)], ["src", "dst"])
+
+    return work.repartition("i", "j").sortWithinPartitions("i", "j").select("i", "j", "block", "n", "component", "shared").mapInArrow(run, "src long, dst long")
+
+
+def _across(met: DataFrame, rows: DataFrame, near: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(src, dst): links between components, of all pairs of classes that meet in a column."""
+    component = F.coalesce("component", "node").alias("component")
+    placed = rows.select("node", "n").join(near, "node", "left").select("node", "n", component)
+    entries = met.select("column", "node").join(placed, "node")
+    counted = entries.groupBy("column", "component").agg(F.count("*").alias("c"))
+    mixed = counted.groupBy("column").agg(F.max(F.struct("c", F.col("component").alias("home"))).alias("top"), F.count("*").alias("several")).where("several > 1").select("column", "top")
+    entries = scratch.save(entries.join(mixed, "column"), "mixed")
+    level = F.floor(F.log("n") / (math.log(100 / percent) * 1.000001) if percent < 100 else F.col("n"))
+    homes = entries.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.max("top").alias("top"))
+    homes = homes.select("node", "n", "component", F.col("top.home").alias("home"), (F.col("top.home") == F.col("component")).alias("inner"), level.alias("level"))
+    lots = F.greatest(F.ceil(F.sum("n") / BLOCK_CELLS), F.ceil(F.count("*") / BLOCK_ROWS))
+    sizes = homes.groupBy("home", "inner", "level").agg(lots.alias("lots"))
+    blocks = homes.join(sizes, ["home", "inner", "level"])
+    blocks = scratch.save(blocks.select("node", "n", "component", "level", F.xxhash64("home", "inner", "level", F.pmod(F.xxhash64("node"), "lots")).alias("block")), "blocks")
+    held = entries.select("column", "node").join(blocks.select("node", "level", "component", "block"), "node")
+    held = held.groupBy("column", "block").agg(*[f(c).alias(f"{name}_{c}") for c in ("level", "component") for f, name in ((F.min, "least"), (F.max, "most"))])
+    a, b = held.alias("a"), held.alias("b")
+    close = (F.col("a.least_level") <= F.col("b.most_level") + 1) & (F.col("b.least_level") <= F.col("a.most_level") + 1)
+    differ = F.least("a.least_component", "b.least_component") != F.greatest("a.most_component", "b.most_component")
+    pairs = a.join(b, (F.col("a.column") == F.col("b.column")) & (F.col("a.block") <= F.col("b.block")) & close & differ).select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
+    contents = blocks.select("node", "n", "component", "block").join(rows.select("node", "shared"), "node").drop("node")
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return _products(sides.join(contents, "block"), percent)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -319,38 +307,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bits = block_bits(docs)
-    signed = scratch.save(_signatures(docs, "id", "text"), "signatures")
-    order = spark.sparkContext.broadcast(_count(docs, "text", bits))
-    columns = scratch.save(_columns(docs, "text", order, bits, percent), "columns")
-    sorted_by = lambda df: df.repartition("column").sortWithinPartitions("column")
-    pairs = scratch.save(sorted_by(columns).mapInArrow(star_pairs(percent), _PAIR).distinct(), "pairs")
-    first = scratch.save(_links(spark, docs, "text", pairs, percent), "links")
+    order = spark.sparkContext.broadcast(_count(docs, "text", block_bits(docs)))
+    seen = scratch.save(_incidence(docs, order, percent), "incidence")
+    signed = seen.select("id", "n", "h1", "h2")
+    rows = seen.where("id IS NOT NULL AND n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("first_id"), F.first("shared", ignorenulls=True).alias("shared")).where("shared IS NOT NULL")
+    rows = scratch.save(rows.withColumn("node", F.monotonically_increasing_id()), "rows")  # the written table fixes the numbers
+    entries = _entries(rows, percent)
+    columns = entries.groupBy("column").agg(F.min("node").alias("anchor"), F.max("node").alias("last")).where("anchor <> last").drop("last")
+    met = scratch.save(entries.join(columns, "column"), "met")
+    first = scratch.save(_verified(_stars(met), rows, percent), "links")
     near = scratch.save(components(first, scratch), "near")
-    named = columns.join(near.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    more = sorted_by(named.select("column", "cls", "n", "at", "component")).mapInArrow(cross_pairs(percent), _PAIR).distinct()
-    rest = scratch.save(more.join(pairs, ["a", "an", "b", "bn"], "left_anti").select("a", "an", "b", "bn"), "more")
-    second = _links(spark, docs, "text", rest, percent)
-    # one id with several sets links them
-    ids = signed.where("id IS NOT NULL AND cls IS NOT NULL").groupBy("id").agg(F.min("cls").alias("src"), F.max("cls").alias("dst")).where("src <> dst").select("id")
-    shared = signed.join(ids, "id", "left_semi").groupBy("id").agg(F.min("cls").alias("src"), F.collect_set("cls").alias("all")).select("src", F.explode("all").alias("dst"))
-    last = scratch.save(components(near.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(second).unionByName(shared), scratch), "components")
-    placed = signed.join(last.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id"))
-    out = placed.join(least, "component", "left")
-    whose = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whose.cast(docs.schema["id"].dataType).alias("component_id"))
+    second = _across(met, rows, near, percent, scratch)
+    # rows with one id and several texts
+    again = signed.where("id IS NOT NULL AND n > 0").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    same = signed.join(again, "id", "left_semi").join(rows.select("h1", "h2", "n", "node"), ["h1", "h2", "n"]).groupBy("id").agg(F.min("node").alias("src"), F.collect_set("node").alias("all"))
+    edges = near.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(second).unionByName(same.select("src", F.explode("all").alias("dst")))
+    last = scratch.save(components(edges, scratch), "components")
+    classes = rows.select("h1", "h2", "n", "node", "first_id").join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classes.groupBy("component").agg(F.min("first_id").alias("label"))
+    labels = scratch.save(classes.join(least, "component").select("h1", "h2", "n", "label"), "labels")
+    out = signed.join(labels, ["h1", "h2", "n"], "left").select("id", "n", "label")
+    whole = out.join(again, "id", "left_semi").where("n > 0").groupBy("id").agg(F.min("label").alias("common"))
+    out = out.join(whole, "id", "left")
+    component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("label", "common", "id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.cast(docs.schema["id"].dataType).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """The rows of docs, with all their columns, of the smallest id of each component; one row of each id.
 
-    Rows with a null id stay.
+    Of rows with one id, the one with the smallest text stays (a null text is the smallest). Rows with a null id stay.
     """
     found = jaccard_components(docs, id_col, text_col, percent)
     scratch = Scratch(docs.sparkSession, "keep")
     ids = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
     odd = scratch.save(ids.where((F.col("component_id") != F.col(id_col)) | (F.col("rows") > 1)), "odd")
-    again = odd.where(F.col("component_id") == F.col(id_col)).select(id_col)
-    rest = docs.join(odd.select(id_col), id_col, "left_anti")
-    return rest.unionByName(docs.join(again, id_col, "left_semi").dropDuplicates([id_col])).select(*docs.columns)
+    rest = docs.join(odd.select(id_col), id_col, "left_anti").select(*docs.columns)
+    again = docs.join(odd.where(F.col("component_id") == F.col(id_col)).select(id_col), id_col, "left_semi")
+    if any("map<" in kind or kind == "variant" for _, kind in docs.dtypes):  # rows that can't be put in order
+        return rest.unionByName(again.dropDuplicates([id_col]).select(*docs.columns))
+    places = [docs.columns.index(text_col), *(i for i, c in enumerate(docs.columns) if c != text_col)]
+    first = again.groupBy(id_col).agg(F.min(F.struct(*[F.col(docs.columns[i]).alias(f"f{i}") for i in places])).alias("_first"))
+    one = first.select(*[F.col("_first").getField(f"f{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return rest.unionByName(one.select(*docs.columns))
+

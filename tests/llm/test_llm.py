@@ -397,3 +397,43 @@ def test_words_match_a_regex():
             assert words == re.findall(r"[^\x20\x09-\x0D]+", rows[at] or "")
             at += 1
     assert at == len(rows)
+
+
+def test_products_of_blocks():
+    from lanthorn.llm.jaccard_join import overlaps
+
+    rng = np.random.default_rng(1)
+    for width in (40, 5000):
+        rows, others = ([rng.choice(width, rng.integers(0, 30), replace=False).astype(np.uint64) for _ in range(n)] for n in (50, 70))
+        want = [[len(set(a.tolist()) & set(b.tolist())) for b in others] for a in rows]
+        assert (overlaps(rows, others) == np.array(want)).all()
+        assert (overlaps(rows, others, cells=64) == np.array(want)).all()
+
+
+def test_jaccard_links_around_the_threshold(spark):
+    """Near copies of one text, of which about half the pairs link: components must be those of all pairs."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(160):
+        own = list(words)
+        for _ in range(rng.choice([1, 2, 4, 5, 6, 7, 9])):
+            own[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append((i, " ".join(own)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for _, t in texts]
+    root = list(range(160))
+
+    def find_root(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(160):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find_root(i), find_root(j)))
+                root[b] = a
+    assert len({find_root(i) for i in range(160)}) > 5
+    got = {r.doc_id: r.component_id for r in jaccard_components(table(spark, texts).repartition(5)).collect()}
+    assert got == {i: find_root(i) for i in range(160)}
