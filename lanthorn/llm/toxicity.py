@@ -5,8 +5,10 @@ compounds). Features are scaled by the log ratio of their smoothed rates under e
 
     log loss + l2 * |u|^2 + swap_weight * mean of (score of a text - score of the text with its identity terms swapped)^2
 
-where u are the weights before scaling, scores are log odds and each identity term is replaced by the next one of its category. So a term's own mention
-can't move a score much unless words around it do, which lowers false positives on neutral mentions of groups.
+where u are the weights before scaling and scores are log odds. The swapped form of a text has each identity term, in the singular or
+with an s, replaced by the next one of its category and language, before features are made: a feature goes if no other word of the text has it
+too, and one comes if none had it. Words and their starts are covered alike, and a replacement that no training text has counts with weight 0. So
+a term's own mention can't move a score much unless words around it do, which lowers false positives on neutral mentions of groups.
 
 Training uses at most ``max_rows`` labelled rows, those with the smallest hash of their id: that alone bounds what the driver
 holds, 8 bytes for each distinct feature of each of these rows. Training and scoring read every whole text.
@@ -25,15 +27,15 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from lanthorn.llm.scratch import ready
 from lanthorn.llm.textcore import ALNUM, LOWER, Group, groups, mix, span_hashes
 
-# Identity terms by category.
+# Identity terms by category, a list for each language (English, German, French, Spanish).
 IDENTITY_TERMS = {
-    "religion": ["christian", "muslim", "jewish", "hindu", "buddhist", "atheist"],
-    "origin": ["african", "asian", "european", "american", "mexican", "immigrant"],
-    "colour": ["black", "white", "brown"],
-    "gender": ["women", "men", "girls", "boys", "transgender"],
-    "orientation": ["gay", "lesbian", "bisexual", "straight", "queer"],
-    "ability": ["deaf", "blind", "disabled", "autistic"],
-    "age": ["old", "young", "elderly"],
+    "religion": [["christian", "muslim", "jewish", "hindu", "buddhist", "atheist"], ["christ", "muslim", "jude", "hindu", "buddhist", "atheist"], ["chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"], ["cristiano", "musulmán", "judío", "hindú", "budista", "ateo"]],
+    "origin": [["african", "asian", "european", "american", "mexican", "immigrant"], ["afrikaner", "asiate", "europäer", "amerikaner", "mexikaner", "einwanderer"], ["africain", "asiatique", "européen", "américain", "mexicain", "immigré"], ["africano", "asiático", "europeo", "americano", "mexicano", "inmigrante"]],
+    "colour": [["black", "white", "brown"], ["schwarze", "weiße", "braune"], ["noir", "blanc", "brun"], ["negro", "blanco", "moreno"]],
+    "gender": [["women", "men", "girls", "boys", "transgender"], ["frauen", "männer", "mädchen", "jungen", "transgender"], ["femme", "homme", "fille", "garçon", "transgenre"], ["mujer", "hombre", "chica", "chico", "transgénero"]],
+    "orientation": [["gay", "lesbian", "bisexual", "straight", "queer"], ["schwul", "lesbisch", "bisexuell", "heterosexuell", "queer"], ["gay", "lesbienne", "bisexuel", "hétérosexuel", "queer"], ["gay", "lesbiana", "bisexual", "heterosexual", "queer"]],
+    "ability": [["deaf", "blind", "disabled", "autistic"], ["gehörlos", "blind", "behindert", "autistisch"], ["sourd", "aveugle", "handicapé", "autiste"], ["sordo", "ciego", "discapacitado", "autista"]],
+    "age": [["old", "young", "elderly"], ["alt", "jung", "betagt"], ["vieux", "jeune", "âgé"], ["viejo", "joven", "anciano"]],
 }
 
 STARTS = (4, 5, 6)
@@ -47,20 +49,48 @@ def word_keys(words: list[str]) -> np.ndarray:
 
 def features(group: Group) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and word starts of a group, and the row of each; they repeat as the words do."""
-    row = group.row_of_word()
-    hashes, rows = [group.hashes], [row]
+    hashes, words = word_features(group)
+    return hashes, group.row_of_word()[words]
+
+
+def word_features(group: Group) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and word starts of a group, and the word of each."""
+    hashes, words = [group.hashes], [np.arange(len(group.hashes))]
     for k in STARTS:
         longer = np.flatnonzero(group.ends - group.starts > k)
         begin = group.starts[longer]
         hashes.append(mix(span_hashes(group.data, begin, begin + k, LOWER) ^ np.uint64(k)))
-        rows.append(row[longer])
-    return np.concatenate(hashes), np.concatenate(rows)
+        words.append(longer)
+    return np.concatenate(hashes), np.concatenate(words)
+
 
+def swaps() -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each identity term's hash, its features and those of what replaces it. A term that two lists have is swapped as in the first."""
+    pairs: dict[str, str] = {}
+    for lists in IDENTITY_TERMS.values():
+        for terms in lists:
+            for i, t in enumerate(terms):
+                other = terms[(i + 1) % len(terms)]
+                pairs.setdefault(t, other)
+                pairs.setdefault(t + "s", other + "s")
+    (group,) = groups(pa.array([" ".join(x for pair in pairs.items() for x in pair)]), ALNUM, LOWER)
+    hashes, words = word_features(group)
+    of = [hashes[words == i] for i in range(len(group.hashes))]
+    return {int(group.hashes[i]): (of[i], of[i + 1]) for i in range(0, len(of), 2)}
 
-def swaps() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of identity terms, and of what replaces each."""
-    pairs = [(t, terms[(i + 1) % len(terms)]) for terms in IDENTITY_TERMS.values() for i, t in enumerate(terms)]
-    return word_keys([a for a, _ in pairs]), word_keys([b for _, b in pairs])
+
+def swapped(hashes: np.ndarray, words: np.ndarray, own: np.ndarray, terms: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The features that go and those that come when the identity terms of one text are swapped.
+
+    hashes and words: the text's features and the word of each, own: the hashes of its words (numbered from 0).
+    """
+    found = np.isin(own, np.fromiter(terms, np.uint64, len(terms)))
+    if not found.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    pairs = [terms[int(h)] for h in np.unique(own[found])]
+    rest = np.unique(hashes[~found[words]])
+    before, after = (np.unique(np.concatenate([p[i] for p in pairs])) for i in (0, 1))
+    return np.setdiff1d(before, np.union1d(rest, after)), np.setdiff1d(after, np.union1d(rest, before))
 
 
 @dataclass
@@ -88,8 +118,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, l2: float, swap_weight: float, min_docs: int, rounds: int = 300) -> Model:
-    """Full-batch Adam; texts are arrays of distinct word hashes."""
+def fit(texts: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], l2: float, swap_weight: float, min_docs: int, rounds: int = 300) -> Model:
+    """Full-batch Adam; texts are arrays of distinct features, changes what :func:`swapped` says of each."""
     n = len(texts)
     rate = float(np.clip(labels.mean() if n else 0.5, 1e-3, 1 - 1e-3))
     bias = float(np.log(rate / (1 - rate)))
@@ -97,8 +127,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, l2: float, swap_weight: flo
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
     keys, counts = flat[first], np.diff(np.append(first, len(flat)))
     del flat
-    old, new = swaps()
-    keys = keys[(counts >= min_docs) | np.isin(keys, old)]
+    keys = keys[counts >= min_docs]
     if not len(keys) or labels.min() == labels.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), bias)
     found = []
@@ -106,13 +135,14 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, l2: float, swap_weight: flo
         at = np.minimum(np.searchsorted(keys, text), len(keys) - 1)
         found.append(at[keys[at] == text].astype(np.int32))
     row, col = np.repeat(np.arange(n), [len(c) for c in found]), np.concatenate(found)
-    # differences between a text and its swapped form: -1 for each term that goes, +1 for the one that comes
-    at = {int(k): i for i, k in enumerate(keys)}
-    to = {at[int(a)]: at[int(b)] for a, b in zip(old, new, strict=True) if int(a) in at and int(b) in at}
-    goes = np.flatnonzero(np.isin(col, list(to))) if to else np.zeros(0, np.int64)
-    pair_row = np.concatenate([row[goes], row[goes]])
-    pair_col = np.concatenate([col[goes], np.array([to[c] for c in col[goes].tolist()], np.int64)]).astype(np.int64)
-    sign = np.concatenate([-np.ones(len(goes)), np.ones(len(goes))])
+    # differences between a text and its swapped form: -1 for each feature that goes, +1 for each that comes
+    sides = [[c[i] for c in changes] or [np.zeros(0, np.uint64)] for i in (0, 1)]
+    pair_row = np.concatenate([np.repeat(np.arange(len(side)), [len(c) for c in side]) for side in sides]).astype(np.int64)
+    sign = np.repeat([-1.0, 1.0], [sum(map(len, side)) for side in sides])
+    moved = np.concatenate([np.concatenate(side) for side in sides])
+    pair_col = np.minimum(np.searchsorted(keys, moved), len(keys) - 1)
+    known_pair = keys[pair_col] == moved  # the others have weight 0
+    pair_row, pair_col, sign = pair_row[known_pair], pair_col[known_pair], sign[known_pair]
     one = np.bincount(col, weights=labels[row], minlength=len(keys))
     none = np.bincount(col, weights=1 - labels[row], minlength=len(keys))
     scale = np.abs(np.log((one + 1) / (labels.sum() + 1)) - np.log((none + 1) / (n - labels.sum() + 1)))
@@ -123,7 +153,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, l2: float, swap_weight: flo
         z = np.bincount(row, weights=w[col], minlength=n) + bias
         gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
         grad = np.bincount(col, weights=gap[row], minlength=size) * scale + 2 * l2 * u / n
-        if len(goes):
+        if len(pair_row):
             change = np.bincount(pair_row, weights=sign * w[pair_col], minlength=n)
             grad += 2 * swap_weight / n * np.bincount(pair_col, weights=sign * change[pair_row], minlength=size) * scale
         gb = gap.sum()
@@ -147,19 +177,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")  # max_rows bounds what is broadcast
 
     def words(batches):
+        terms = swaps()
         for batch in batches:
             for group in groups(batch.column(0), ALNUM, LOWER):
-                own = []
-                hashes, rows = features(group)
+                hashes, word = word_features(group)
+                rows = group.row_of_word()[word]
                 order = np.argsort(rows, kind="stable")
-                hashes, ptr = hashes[order], np.searchsorted(rows[order], np.arange(group.hi - group.lo + 1))
+                hashes, word, ptr = hashes[order], word[order], np.searchsorted(rows[order], np.arange(group.hi - group.lo + 1))
+                own, goes, comes = [], [], []
                 for r in range(group.hi - group.lo):
-                    own.append(np.unique(hashes[ptr[r] : ptr[r + 1]]).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(group.lo, group.hi - group.lo), batch.column(2).slice(group.lo, group.hi - group.lo), pa.array(own, pa.binary())], ["id", "y", "words"])
+                    mine, begin = hashes[ptr[r] : ptr[r + 1]], group.ptr[r]
+                    old, new = swapped(mine, word[ptr[r] : ptr[r + 1]] - begin, group.hashes[begin : group.ptr[r + 1]], terms)
+                    for column, x in ((own, np.unique(mine)), (goes, old), (comes, new)):
+                        column.append(x.tobytes())
+                columns = [batch.column(i).slice(group.lo, group.hi - group.lo) for i in (1, 2)] + [pa.array(c, pa.binary()) for c in (own, goes, comes)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "y", "words", "goes", "comes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted(rows.select("_text", "_id", "_y").mapInArrow(words, f"id {kind}, y int, words binary").collect(), key=lambda r: (r.id, r.words))[:max_rows]
-    return fit([np.frombuffer(r.words, np.uint64) for r in got], np.array([r.y for r in got], float), l2, swap_weight, min_docs)
+    got = rows.select("_text", "_id", "_y").mapInArrow(words, f"id {kind}, y int, words binary, goes binary, comes binary").collect()
+    got = sorted(got, key=lambda r: (r.id, r.words))[:max_rows]
+    changes = [(np.frombuffer(r.goes, np.uint64), np.frombuffer(r.comes, np.uint64)) for r in got]
+    return fit([np.frombuffer(r.words, np.uint64) for r in got], np.array([r.y for r in got], float), changes, l2, swap_weight, min_docs)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

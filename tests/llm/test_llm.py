@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lanthorn.llm import textcore
@@ -19,7 +20,7 @@ from lanthorn.llm.language_id import identify
 from lanthorn.llm.packing import Schedule, pack, phases, queues
 from lanthorn.llm.secrets import find, redact, secrets
 from lanthorn.llm.substring_dedup import dedup_substrings
-from lanthorn.llm.toxicity import drop_toxic, fit, swaps, toxicity, train
+from lanthorn.llm.toxicity import drop_toxic, fit, score, swapped, swaps, toxicity, train, word_features
 
 SCHEMA = "doc_id long, text string, lang string, source string, id long, cls long, component string, n long"
 
@@ -264,12 +265,65 @@ def whole_words(text):
     return data, starts, ends, textcore.LOWER
 
 
-def test_swap_penalty_evens_out_identity_terms():
-    a, b = (k[:1] for k in swaps())
-    texts = [np.sort(np.concatenate([a, [np.uint64(i + 1)]])) for i in range(60)] + [np.sort(np.concatenate([b, [np.uint64(i + 1)]])) for i in range(60)]
-    labels = np.array([1.0] * 60 + [0.0] * 60)
-    gap = lambda m: abs(m.weights[m.keys == a[0]][0] - m.weights[m.keys == b[0]][0])
-    assert gap(fit(texts, labels, 0.5, 50.0, 2)) < 0.3 * gap(fit(texts, labels, 0.5, 0.0, 2))
+def test_swap_penalty_evens_out_identity_terms(spark):
+    """Terms that mark a label in training: swapping one for the other must move a score far less with the penalty than without."""
+    rng = random.Random(8)
+    for term, other in (("muslim", "jewish"), ("africain", "asiatique")):  # the next term of each category and language
+        rows = [(i, f"{prose(rng, 6)} {term if i % 2 else other} {prose(rng, 3)} {'rotten' if i % 2 and i % 3 else 'lovely'}") for i in range(240)]
+        docs = table(spark, [*rows, (1000, f"the {term}"), (1001, f"the {other}"), (1002, "the rotten"), (1003, "the lovely")])
+        labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, toxic int")
+        odds = {}
+        for weight in (0.0, 5.0):
+            model = train(docs, labels, swap_weight=weight)
+            got = {r.doc_id: r.score for r in score(docs.where("doc_id >= 1000"), model).collect()}
+            odds[weight] = {k: np.log(v / (1 - v)) for k, v in got.items()}
+        gap = lambda w: abs(odds[w][1000] - odds[w][1001])  # noqa: B023, E731
+        assert gap(5.0) < 0.3 * gap(0.0)
+        assert odds[5.0][1002] > odds[5.0][1003]
+
+
+def test_swapped_features_equal_those_of_the_swapped_text():
+    terms = swaps()
+
+    def distinct(text):
+        (group,) = textcore.groups(pa.array([text]), textcore.ALNUM, textcore.LOWER)
+        return group, word_features(group)
+
+    for text, other in (("The Muslims and Christmas", "The jewishs and Christmas"), ("chrétien musulman frauen", "musulman juif männer"), ("no term here", "no term here"), ("muslim christian", "jewish muslim")):
+        group, (hashes, words) = distinct(text)
+        goes, comes = swapped(hashes, words, group.hashes, terms)
+        a, b = set(hashes.tolist()), set(distinct(other)[1][0].tolist())
+        assert set(goes.tolist()) == a - b and set(comes.tolist()) == b - a
+
+
+def test_the_fitted_weights_have_the_least_loss():
+    """The documented loss, computed text by text, is lower at the fitted weights than beside them."""
+    rng = np.random.default_rng(3)
+    keys = np.arange(1, 13, dtype=np.uint64)
+    texts = [np.sort(rng.choice(keys, 4, replace=False)) for _ in range(60)]
+    labels = np.array([float((t < 4).sum() >= 2) for t in texts])
+    changes = [(t[t == 1], keys[11:12] if (t == 1).any() and not (t == 12).any() else keys[:0]) for t in texts]
+    l2, weight = 0.5, 5.0
+    one, none = (np.array([sum(k in t for t, y in zip(texts, labels, strict=True) if y == want) for k in keys]) for want in (1, 0))
+    scale = np.abs(np.log((one + 1) / (labels.sum() + 1)) - np.log((none + 1) / (60 - labels.sum() + 1)))
+    model = fit(texts, labels, changes, l2, weight, 1, rounds=4000)
+    w0 = model.weights[np.searchsorted(model.keys, keys)]
+
+    def loss(w, bias):
+        at = lambda t: sum(w[int(k) - 1] for k in t)
+        total = l2 * sum((x / s) ** 2 for x, s in zip(w, scale, strict=True))
+        for t, y, (goes, comes) in zip(texts, labels, changes, strict=True):
+            z = at(t) + bias
+            total += np.log1p(np.exp(-z if y else z)) + weight * (at(comes) - at(goes)) ** 2
+        return total / 60
+
+    best = loss(w0, model.bias)
+    for i in range(12):
+        for step in (-0.05, 0.05):
+            w = w0.copy()
+            w[i] += step
+            assert loss(w, model.bias) > best
+    assert loss(w0, model.bias + 0.05) > best and loss(w0, model.bias - 0.05) > best
 
 
 def test_language(spark):
