@@ -42,11 +42,6 @@ STARTS = (4, 5, 6)
 _BITS = 20
 
 
-def word_keys(words: list[str]) -> np.ndarray:
-    (group,) = groups(pa.array([" ".join(words)]), ALNUM, LOWER)
-    return group.hashes
-
-
 def features(group: Group) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and word starts of a group, and the row of each; they repeat as the words do."""
     hashes, words = word_features(group)
