@@ -13,10 +13,11 @@ Tokens are the code points of the formatted text. Each node has
 - ``ancestors``: the intervals of the stream that its tokens attend to besides the tokens before them in the node itself;
 - ``loss_from`` and ``loss_to``: the part of it that the loss covers, an assistant's text.
 
-A conversation is read in one pass over its sorted turns, so none is held as a whole. The layout sorts nodes by path (eight
-bytes for each of the first ``LEVELS`` turns), with prefix sums over partitions in place of one big task; so a first turn
-that a third of all conversations share costs no more than others. Beyond ``LEVELS`` shared turns nodes are still emitted
-once, but subtrees may interleave; ``ancestors`` stays right, as it never relies on order.
+A conversation is read in one pass over its sorted turns, so none is held as a whole. Conversations are ranked by their paths, eight
+bytes for each turn: whole paths, so that those that share turns to any depth are neighbours. A node belongs to the first of
+its conversations, and nodes in the order (rank of that conversation, depth) are the tree depth first. Ranks and places come
+from sorted ranges with prefix sums over partitions, in place of one big task; so a first turn that a third of all
+conversations share costs no more than others.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lanthorn.llm.scratch import Scratch
 
 # Strings that mean something to the template or to tokenizers used with it.
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<unk>"]
-LEVELS = 12
 
 _ESCAPE = re.compile("|".join(re.escape(c) for c in sorted([*CONTROLS, "\\"], key=len, reverse=True)))
 _UNESCAPE = re.compile(r"\\(.)", re.S)
@@ -91,51 +92,66 @@ def _batches(rows, names: list[str], types: list[pa.DataType], most: int = 2000)
 
 
 def _keyed(turns: DataFrame) -> DataFrame:
-    """(conv, depth, key, path, role, text) of every turn, by one pass over each conversation's sorted turns."""
-    kind = turns.schema["conv"].dataType.simpleString()
+    """(conv, depth, key, path, role, text) of every turn, by one pass over each conversation's sorted turns; path is whole, on the last turn alone."""
 
     def run(batches):
         def rows():
-            conv, key, path, depth, begun = None, b"", b"", 0, False
+            conv, key, path, depth, held = None, b"", [], 0, None
             for batch in batches:
                 for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    if not begun or c != conv:
-                        conv, key, path, depth, begun = c, b"", b"", 0, True
+                    if held is None or c != conv:
+                        if held is not None:
+                            yield *held[:3], b"".join(path), *held[4:]
+                        conv, key, path, depth = c, b"", [], 0
+                    else:
+                        yield held
                     own = hashlib.blake2b(key, digest_size=16)
                     own.update(len((role or "").encode()).to_bytes(8, "little") + (role or "").encode() + (text or "").encode())
                     key = own.digest()
-                    if depth < LEVELS:
-                        path += key[:8]
-                    yield conv, depth, key, path, role or "", text or ""
+                    path.append(key[:8])
+                    held = (conv, depth, key, None, role or "", text or "")
                     depth += 1
+            if held is not None:
+                yield *held[:3], b"".join(path), *held[4:]
 
-        yield from _batches(rows(), ["conv", "depth", "key", "path", "role", "text"], [_arrow(kind), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string()])
+        yield from _batches(rows(), ["conv", "depth", "key", "path", "role", "text"], [kind, pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string()])
 
+    kind = to_arrow_type(turns.schema["conv"].dataType)
     spread = turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
-    return spread.mapInArrow(run, f"conv {kind}, depth int, key binary, path binary, role string, text string")
+    return spread.mapInArrow(run, f"conv {turns.schema['conv'].dataType.simpleString()}, depth int, key binary, path binary, role string, text string")
+
+
+def _ranked(turns: DataFrame) -> DataFrame:
+    """(conv, rank) in the order of whole paths; a partition of the sorted range has the ranks from its number times 2^40 on."""
+    kind = turns.schema["conv"].dataType.simpleString()
 
+    def number(batches):
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(at, at + len(batch)), pa.int64())], ["conv", "rank"])
+            at += len(batch)
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}[kind]
+    some = turns.where("path IS NOT NULL").select("conv", "path")
+    return some.repartitionByRange("path", "conv").sortWithinPartitions("path", "conv").select("conv").mapInArrow(number, f"conv {kind}, rank long")
 
 
-def _laid_out(turns: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row for each node with its place in the depth-first stream."""
-    distinct = turns.groupBy("key").agg(F.first("path").alias("path"), F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
+def _laid_out(turns: DataFrame, owners: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row for each node with its place in the depth-first stream; owners has the rank of each node's first conversation."""
+    distinct = turns.groupBy("key").agg(F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text")).join(owners, "key")
 
     def place(batches):
         def rows():
             part, at = TaskContext.get().partitionId(), 0
             for batch in batches:
-                for key, path, depth, role, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for key, owner, depth, role, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                     formatted, a, b = format_turn(role, text)
-                    yield part, at, len(formatted), a, b, key, path[:8], depth, formatted
+                    yield part, at, len(formatted), a, b, key, owner, depth, formatted
                     at += len(formatted)
 
-        yield from _batches(rows(), ["part", "at", "length", "loss_from", "loss_to", "key", "tree", "depth", "formatted"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.string()])
+        yield from _batches(rows(), ["part", "at", "length", "loss_from", "loss_to", "key", "owner", "depth", "formatted"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.string()])
 
-    ordered = distinct.repartitionByRange("path", "depth", "key").sortWithinPartitions("path", "depth", "key").select("key", "path", "depth", "role", "text")
-    placed = scratch.save(ordered.mapInArrow(place, "part int, at long, length long, loss_from long, loss_to long, key binary, tree binary, depth int, formatted string"), "placed")
+    ordered = distinct.repartitionByRange("owner", "depth").sortWithinPartitions("owner", "depth").select("key", "owner", "depth", "role", "text")
+    placed = scratch.save(ordered.mapInArrow(place, "part int, at long, length long, loss_from long, loss_to long, key binary, owner long, depth int, formatted string"), "placed")
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of the stream
     bases = placed.groupBy("part").agg(F.sum("length").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     return placed.join(bases, "part").withColumn("start", F.col("base") + F.col("at")).drop("part", "at", "base")
@@ -165,26 +181,25 @@ def prefix_tree(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
     scratch = scratch or Scratch(conversations.sparkSession, "chat")
     turns = conversations.select(F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     turns = scratch.save(_keyed(turns), "turns")
-    laid = scratch.save(_laid_out(turns, scratch), "laid")
-    paths = turns.select("conv", "depth", "key")
-    # a node's ancestors come from the smallest of its conversations
-    owners = paths.groupBy("key").agg(F.min("conv").alias("owner"))
-    steps = paths.join(laid.select("key", "start", "length"), "key")
-    leads = steps.join(owners, "key").withColumn("own", F.col("conv").eqNullSafe(F.col("owner")))
-    walked = leads.repartition("conv").sortWithinPartitions("conv", "depth").select("conv", "key", "start", "length", "own")
+    ranks = scratch.save(_ranked(turns), "ranks")
+    paths = scratch.save(turns.select("conv", "depth", "key").join(ranks, "conv"), "paths")
+    laid = scratch.save(_laid_out(turns, paths.groupBy("key").agg(F.min("rank").alias("owner")), scratch), "laid")
+    # a node's ancestors come from the first of its conversations
+    steps = paths.join(laid.select("key", "start", "length", "owner"), "key").withColumn("own", F.col("rank") == F.col("owner"))
+    walked = steps.repartition("rank").sortWithinPartitions("rank", "depth").select(F.col("rank").alias("conv"), "key", "start", "length", "own")
 
     def note(batches):
         rows = ((r["key"], p, [{"start": a, "end": b} for a, b in spans]) for r, p, spans in _walk(batches, ["conv", "key", "start", "length", "own"]) if r["own"])
         yield from _batches(rows, ["key", "position", "ancestors"], [pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))])
 
     notes = walked.mapInArrow(note, "key binary, position long, ancestors array<struct<start:bigint,end:bigint>>")
-    nodes = laid.join(notes, "key").select(F.hex("tree").alias("tree"), F.col("key").alias("node"), "depth", "start", "length", "position", "ancestors", "loss_from", "loss_to", "formatted")
-    return scratch.save(nodes, "nodes"), paths
+    nodes = laid.join(notes, "key").select(F.col("key").alias("node"), "depth", "start", "length", "position", "ancestors", "loss_from", "loss_to", "formatted")
+    return scratch.save(nodes, "nodes"), paths.select("conv", "depth", "key")
 
 
 def read_back(nodes: DataFrame, paths: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """What each conversation says, read from the nodes: digests of its turns and of the text under the loss mask."""
-    kind = paths.schema["conv"].dataType.simpleString()
+    kind, arrow = paths.schema["conv"].dataType.simpleString(), to_arrow_type(paths.schema["conv"].dataType)
     steps = paths.join(nodes.select(F.col("node").alias("key"), "start", "length", "position", "formatted", "loss_from", "loss_to", "ancestors"), "key")
     steps = steps.repartition("conv").sortWithinPartitions("conv", "depth").select("conv", "start", "length", "position", "formatted", "loss_from", "loss_to", F.expr("aggregate(ancestors, 0L, (n, x) -> n + x.end - x.start)").alias("seen"))
 
@@ -212,7 +227,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, id_col: str = "conv_id") -> Da
         def finish(x):
             return x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5]
 
-        yield from _batches(rows(), [id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], [_arrow(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])
+        yield from _batches(rows(), [id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], [arrow, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])
 
     return steps.mapInArrow(digest, f"`{id_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

@@ -491,3 +491,21 @@ def test_jaccard_links_around_the_threshold(spark):
     assert len({find_root(i) for i in range(160)}) > 5
     got = {r.doc_id: r.component_id for r in jaccard_components(table(spark, texts).repartition(5)).collect()}
     assert got == {i: find_root(i) for i in range(160)}
+
+
+def test_subtrees_stay_together_at_any_depth(spark):
+    """Conversations that share 30 turns and then differ: a node's subtree is one interval of the stream."""
+    rows = []
+    for c in range(24):
+        said = [f"t{i}" for i in range(30)] + [f"a{c % 3}", f"b{c % 6}", f"c{c}", "end"]
+        rows += [(f"c{c:02}" if c else None, i, "user", t) for i, t in enumerate(said)]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").repartition(7)
+    nodes = sorted(prefix_tree(df)[0].collect(), key=lambda r: r.start)
+    assert len(nodes) == 30 + 3 + 6 + 24 * 2
+    open_ = []  # ends of ancestors, as a depth-first walk has them
+    for r in nodes:
+        open_ = open_[: r.depth]
+        assert len(open_) == r.depth and sum(a.end - a.start for a in r.ancestors) == r.position
+        assert set(x for a in r.ancestors for x in range(a.start, a.end)) == set(x for s, e in open_ for x in range(s, e))
+        open_.append((r.start, r.start + r.length))
+    assert format_conversations(df).count() == 24
