@@ -182,7 +182,8 @@ def prefix_tree(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
     turns = conversations.select(F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     turns = scratch.save(_keyed(turns), "turns")
     ranks = scratch.save(_ranked(turns), "ranks")
-    paths = scratch.save(turns.select("conv", "depth", "key").join(ranks, "conv"), "paths")
+    own = ranks.withColumnRenamed("conv", "_conv")
+    paths = scratch.save(turns.select("conv", "depth", "key").join(own, F.col("conv").eqNullSafe(F.col("_conv"))).drop("_conv"), "paths")
     laid = scratch.save(_laid_out(turns, paths.groupBy("key").agg(F.min("rank").alias("owner")), scratch), "laid")
     # a node's ancestors come from the first of its conversations
     steps = paths.join(laid.select("key", "start", "length", "owner"), "key").withColumn("own", F.col("rank") == F.col("owner"))
