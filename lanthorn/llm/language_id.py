@@ -22,6 +22,8 @@ from lanthorn.llm.scratch import ready
 from lanthorn.llm.textcore import utf8
 
 DIMS = 4096
+#: A language's rows are dealt to so many lots before the first of them are chosen.
+LOTS = 256
 _ROWS = 128
 UNDETERMINED = "und"
 
@@ -61,7 +63,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def weighted(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return unit(np.log1p(tf.astype(np.float32)) * idf)
+    return unit(np.log1p(tf.astype(np.float32, copy=False)) * idf)
 
 
 @dataclass
@@ -94,19 +96,29 @@ def clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres[size >= max(1, 0.02 * len(rows))]
 
 
+def _packed(row: np.ndarray) -> bytes:
+    """Counts in two bytes each, or four where one needs them."""
+    return row.astype("<u2" if row.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u2" if len(blob) == 2 * DIMS else "<u4").astype(np.float32)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_of: int = 5, held_out: int = 0, per_language: int = 1000, max_rows: int = 8000, k: int = 4) -> Centroids:
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.where("_lang IS NOT NULL AND _text IS NOT NULL AND _id IS NOT NULL").where(_remainder("_id", held_out_of) != held_out)
-    ids = rows.select("_id", "_lang", F.xxhash64("_id").alias("_h"))
-    first = Window.partitionBy("_lang").orderBy("_h", "_id")
-    some = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).orderBy("_n", "_lang").limit(max_rows).select("_id", "_lang").distinct()
+    ids = rows.select("_id", "_lang", F.xxhash64("_id").alias("_h")).withColumn("_lot", F.pmod("_h", F.lit(LOTS)))
+    # the first of each lot of a language, and of these the first of the language: no task gets a whole language
+    best = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id"))).where(F.col("_n") <= per_language)
+    some = best(best(ids, "_lang", "_lot"), "_lang").orderBy("_n", "_lang").limit(max_rows).select("_id", "_lang").distinct()
 
     def vectors(batches):
         for batch in batches:
             for lo, tf in counts(*utf8(batch.column(2))):
                 part = batch.slice(lo, len(tf))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([np.minimum(r, 65535).astype(np.uint16).tobytes() for r in tf], pa.binary())], ["id", "lang", "tf"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_packed(r) for r in tf], pa.binary())], ["id", "lang", "tf"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     joined = rows.join(F.broadcast(some), ["_id", "_lang"]).select("_id", "_lang", "_text")  # max_rows bounds what is broadcast
@@ -114,7 +126,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     got = got[:max_rows]
     if not got:
         return Centroids(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64))
-    tf = np.stack([np.frombuffer(r.tf, np.uint16) for r in got])
+    tf = np.stack([_unpacked(r.tf) for r in got])
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 0.1).astype(np.float32)
     langs = np.array([r.lang for r in got])
     names = sorted(set(langs.tolist()))

@@ -1,11 +1,12 @@
 """Secret scan: three fixed patterns, and strings that a primed compressor can't shorten.
 
-For the second part, candidates are all unbroken runs of 8 or more base64-like characters that start within 40 bytes of a
-sensitive word, or of the end of the identifier that holds it, line ends included. A candidate's *marginal bytes* are the size
+For the second part, candidates are all unbroken runs of 20 or more base64-like characters in a line that holds a sensitive word
+(at any distance), and those of 8 or more that start within 40 bytes of such a word, or of the end of the identifier that holds it,
+line ends included. A candidate's *marginal bytes* are the size
 that it adds to the zstandard frame of its surroundings, with a dictionary of common identifiers. What costs at least
 ``least_ratio`` bytes for each of its own (0.02 more for each byte that a run is shorter than 20) is reported as kind ``novel``:
-words, identifiers, paths and strings that occur nearby cost far less than random ones. Runs of under 20 that are nothing but
-words (letters of one case, a capital first, marks between) are left alone: letters cost a frame this small the same in any order.
+words, identifiers, paths and strings that occur nearby cost far less than random ones. Runs that are nothing but words (letters of one case, a capital first, marks between) are left alone if they
+are shorter than 20 or farther away: letters cost a frame this small the same in any order.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ _SENSITIVE = re.compile(rb"(?i:" + "|".join(SENSITIVE).encode() + rb")")
 _REACH, _SHORTEST, _USUAL = 40, 8, 20
 _REST = re.compile(rb"[A-Za-z0-9+/_.-]*")
 _WORDS = re.compile(rb"[A-Za-z]?(?:[a-z]*|[A-Z]*)(?:[/_.+-]+[A-Za-z]?(?:[a-z]*|[A-Z]*))*")
+_LONG = re.compile(rb"[A-Za-z0-9+/][A-Za-z0-9+/_.-]{%d,}={0,2}" % (_USUAL - 1))
 _RUN = re.compile(rb"[A-Za-z0-9+/][A-Za-z0-9+/_.-]{%d,}={0,2}" % (_SHORTEST - 1))
 _LIKELY = tuple(w.encode() for w in SENSITIVE)
 _START = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -63,11 +65,18 @@ def marginal_bytes(raw: bytes, start: int, end: int, around: int = 256) -> int:
 
 
 def _candidates(raw: bytes) -> list[tuple[list[int], int]]:
-    """Every run in the reach of a sensitive word: where it starts, also behind the last such word in it, and its end."""
+    """Every run in the reach of a sensitive word: where it starts, also behind the last such word in it, and its end.
+
+    After these, the long runs of lines with such a word, that aren't nothing but words.
+    """
     out: list[tuple[list[int], int]] = []
+    lines: list[tuple[int, int]] = []
     done = rest = 0
     for word in _SENSITIVE.finditer(raw):
         at = word.end()
+        if not lines or at > lines[-1][1]:
+            end = raw.find(b"\n", at)
+            lines.append((raw.rfind(b"\n", 0, word.start()) + 1, len(raw) if end < 0 else end))
         if at > rest:
             rest = _REST.match(raw, at).end()
         if at < done:  # in a run already taken
@@ -78,6 +87,14 @@ def _candidates(raw: bytes) -> list[tuple[list[int], int]]:
             m = _RUN.match(raw, m.start())
             out.append(([m.start()], m.end()))
             at = done = m.end()
+    taken, near = {a for starts, _ in out for a in starts}, sorted((starts[0], end) for starts, end in out)
+    k = 0
+    for a, b in lines:
+        for m in _LONG.finditer(raw, a, b):
+            while k < len(near) and near[k][1] <= m.start():
+                k += 1
+            if m.start() not in taken and not (k < len(near) and near[k][0] < m.end()) and not _WORDS.fullmatch(raw, m.start(), m.end()):
+                out.append(([m.start()], m.end()))
     return out
 
 
