@@ -138,8 +138,8 @@ def test_decontamination(spark, texts):
         clean += [i] if not hit else []
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = table(spark, texts)
-    for most in (1 << 20, 3):  # one set of windows, and several
-        got = [(-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in decontaminate(docs, bench, max_windows=most).collect()]
+    for most in (1 << 20, 500):  # one set of windows, and several
+        got = [(-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in decontaminate(docs, bench, max_bytes=most).collect()]
         assert sorted(got) == sorted(want)
     assert sorted(str(r.doc_id) for r in drop_contaminated(docs, bench).collect()) == sorted(map(str, clean))
     assert decontaminate(remove_spans(docs, bench), bench).where("n_hit > 0 AND n_words > 30").count() == 0
@@ -552,3 +552,26 @@ def test_language_sample_is_that_of_one_sort(spark):
     a = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, per_language=20).collect()}
     b = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs.repartition(9), per_language=20).collect()}
     assert a.keys() == b.keys() and all(a[i][0] == b[i][0] == ("aa" if i % 2 else "bb") and abs(a[i][1] - b[i][1]) < 1e-6 for i, _ in rows)
+
+
+def test_large_benchmarks_in_parts(spark, texts):
+    """A benchmark beyond what one set holds gives the same rows."""
+    rng = random.Random(9)
+    items = [(i, " ".join((texts[rng.randrange(20)][1] or "x").split()[k : k + rng.choice([3, 9, 12, 30])])) for i in range(40) for k in [rng.randrange(40)]] + [(None, "one"), (41, None), (42, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, texts)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert decontaminate(docs, bench).where("contaminated").count() > 10
+    for run in (decontaminate, drop_contaminated, remove_spans):
+        assert same(run(docs, bench), run(docs, bench, max_bytes=900)), run.__name__
+
+
+def test_window_sets_hold_few_bytes_for_each_window():
+    from lanthorn.llm.decontaminate import WindowSet
+
+    rng = random.Random(4)
+    items = [(str(i), prose(rng, 2000)) for i in range(100)]
+    own = WindowSet(items)
+    hashes, place = own.windows[10]
+    size = len(own.data) + own.starts.nbytes + own.ends.nbytes + own.ptr.nbytes + hashes.nbytes + place.nbytes
+    assert len(hashes) == 100 * 1991 and size < 30 * len(hashes)
