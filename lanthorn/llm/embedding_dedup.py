@@ -41,7 +41,7 @@ def collision(distance: float, width: float = WIDTH) -> float:
 def plan(largest: int, least_cosine: float, miss: float = 1e-4) -> tuple[int, int]:
     """(projections, tables) for labels of up to ``largest`` vectors."""
     chance = collision(math.sqrt(2))
-    projections = min(20, max(4, math.ceil(math.log(max(2, largest)) / -math.log(chance))))
+    projections = max(4, math.ceil(math.log(max(2, largest)) / -math.log(chance)))
     hit = collision(math.sqrt(max(1e-6, 2 - 2 * least_cosine))) ** projections
     return projections, max(1, math.ceil(math.log(miss) / math.log1p(-hit)))
 
