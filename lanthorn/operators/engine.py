@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lanthorn.functions.workers import ready
 from lanthorn.model import HITS
-from lanthorn.operators.detectors import Detector, File, LongLine
+from lanthorn.operators.detectors import Detector, File, LanguageDetector, LongLine, language_gate
 from lanthorn.operators.rules import RuleSet
 
 _RAW = T.StructType([T.StructField("file", T.StringType()), T.StructField("failed", T.StringType()), *HITS.fields])
@@ -42,7 +42,9 @@ def run_detectors(files: DataFrame, rules: RuleSet, detectors: list[Detector], t
     some = files.where(F.col("source").isNotNull())
     parts = []
     if in_python:
-        gate = reduce(lambda a, b: a | b, [F.coalesce(d.gate(), F.lit(False)) for _, d in in_python])
+        by_language = [d for _, d in in_python if isinstance(d, LanguageDetector) and type(d).gate is LanguageDetector.gate]
+        gates = [d.gate() for _, d in in_python if d not in by_language] + [language_gate(by_language, rules)] * bool(by_language)
+        gate = reduce(lambda a, b: a | b, [F.coalesce(g, F.lit(False)) for g in gates])
         schema = to_arrow_schema(_RAW)
         languages = {name: config for name, config in rules.by_name.items()}
 

@@ -123,6 +123,11 @@ def call_pattern(names: tuple[str, ...], bare_tails: bool = False) -> str:
     return "|".join(out)
 
 
+def call_tails(names: tuple[str, ...]) -> list[str]:
+    """For each name, a string that every way to write its call contains: its last part."""
+    return list(dict.fromkeys(re.split(r"\.|::", n)[-1] or n for n in names if n))
+
+
 def tail_tokens(names: tuple[str, ...]) -> list[str]:
     """The last words of names, for a cheap test before a regex: three characters or more, each once."""
     words = (re.sub(r"[^A-Za-z0-9_]", "", [p for p in re.split(r"[./:\s]+", n) if p][-1:][0] if re.sub(r"[./:\s]+", "", n) else n) for n in names if n)

@@ -72,7 +72,7 @@ def oracle_sql() -> dict[str, str]:
         "changed_lines": dynamic(f"{_UNMARKED} AND n BETWEEN 1 AND 4"),
         "top_findings": f"SELECT * FROM ({_found(chr(39) + 'obf.bidi-control' + chr(39), 'block', '10', 'contains(t, chr(8238))')}) ORDER BY file, line LIMIT 50",
         "pass_or_fail": f"WITH {_lines()} SELECT count(*) > 0 AS failed FROM lines WHERE contains(t, chr(8238))",
-        "snippet_hashes": "SELECT doc_id, sha256(trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g'))) AS digest FROM documents",
+        "snippet_hashes": "SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM documents",
         "allowlisted": f"""SELECT * FROM ({dynamic(f"{_UNMARKED} AND path NOT LIKE 'vendor/%'")}) UNION ALL
             SELECT * FROM ({_found(suffixed("obf.library-load-non-literal"), "warn", "7", f"({_LOAD}) AND NOT ({_JS})")})""",
         "rule_dockerfile_pipe": f"""WITH {_lines()} SELECT path AS file, CASE WHEN n > 1 AND blank THEN n - 1 ELSE n END AS line, 'obf.dockerfile-curl-pipe-shell' AS rule_id, 'block' AS severity, 9 AS score

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lanthorn.functions.text import hash_snippet
 from lanthorn.model import RANGES, Allowlist, PathEntry, SnippetEntry
-from lanthorn.operators.detectors import LongLine
+from lanthorn.operators.detectors import LongLine, default_detectors
 from lanthorn.operators.engine import classified, long_lines
 from lanthorn.operators.rules import default_rule_set
 from lanthorn.operators.suppress import extract_directives
@@ -45,7 +45,7 @@ def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rule(prefix: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        raw = raw_findings(corpus(spark, sf_dir))
+        raw = raw_findings(corpus(spark, sf_dir), detectors=[d for d in default_detectors() if d.id == prefix])
         return raw.where((F.col("rule_id") == prefix) | F.col("rule_id").startswith(prefix + ".")).select(*_COLUMNS)
 
     return query
@@ -105,7 +105,7 @@ def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snippet_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", hash_snippet(F.substring("text", 1, 200)).alias("digest"))
+    return docs.select("doc_id", hash_snippet(F.col("text")).alias("digest"))
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def kept_findings(files: DataFrame, raw: DataFrame, allowlist: Allowlist | None
     found = raw.where(F.col("failed").isNull()).drop("failed").withColumn("snippet", truncate_snippet(F.col("snippet"))).withColumn("rank", severity_rank(F.col("severity")))
     found = found.where(F.col("rank") >= RANK[min_severity])
     if "diff_mode" in files.columns:
-        found = in_changed_lines(found, files.where("diff_mode").select("path", "added_ranges").dropDuplicates(["path"]))
+        found = in_changed_lines(found, files.where("diff_mode").groupBy("path").agg(F.flatten(F.collect_list("added_ranges")).alias("added_ranges")))
     if allowlist and (allowlist.paths or allowlist.snippets):
         found = found.where(~matches_allowlist(allowlist, F.col("rule_id"), F.col("severity"), F.col("snippet"), F.col("file")))
     found = without_disabled(found, extract_directives(files, keyword))
@@ -78,6 +79,7 @@ def scan(
         files = files.repartition(partitions)
     rules = rules or default_rule_set()
     raw = raw_findings(files, rules, detectors, disabled_detectors, None if file_timeout_ms is None else file_timeout_ms / 1000)
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)  # findings and failures are read apart; what an executor loses is found anew
     kept = kept_findings(files.drop("diff_mode") if whole else files, raw, allowlist, min_severity, directive_keyword, symbol_resolver)
     failed = raw.where(F.col("failed").isNotNull()).select(F.col("failed").alias("detector")).distinct()
     return ScanResult(kept.orderBy(*order()).select(*FINDING_COLUMNS), with_targets(files).select("path", F.col("source").isNotNull().alias("scanned")), failed, rules.version, __version__)
