@@ -34,6 +34,9 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "thead": {"table"}}
 # Words in class, id or role names of what isn't the article.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead topbar footer bottom colophon copyright comment comments commentlist respond replies reply discussion disqus share sharing social follow related recommended recommendations newsletter subscribe subscription signup login search widget toolbar skip tags tagcloud contentinfo complementary".split())
+# Those of them that also stand in names of content (bottom-line, side-effects). They count as a whole name or, outside
+# an article, as the last word of one (site-header, right-rail).
+AMBIGUOUS = frozenset("alert banner bottom discussion follow header menu notice notification overlay promotion rail reply search side skip social tags widget".split())
 PUNCTUATION = ",.;:!?¡¿…、。，！？"
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?][^>]*>")
@@ -62,7 +65,7 @@ class _Element:
         self.skipped = parent.skipped if parent else False
         self.link = tag == "a" or bool(parent and parent.link)
         self.main = tag in ("article", "main")
-        names: set[str] = set()
+        whole: list[str] = []
         if attributes and "=" in attributes or "hidden" in attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 value, kind = (m[2] or m[3] or m[4] or "").lower(), m[1].lower()
@@ -73,13 +76,21 @@ class _Element:
                 elif kind == "role" and value in ("main", "article"):
                     self.main = True
                 else:
-                    names.update(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()))
+                    whole += (m[2] or m[3] or m[4] or "").split()
         inside = parent.within if parent else None
         self.within = self if self.main else inside
-        if tag in SKIPPED or tag == "header" and not inside or not self.main and tag not in ("html", "body") and names & BOILERPLATE:
+        if tag in SKIPPED or tag == "header" and not inside or whole and not self.main and tag not in ("html", "body") and any(_boilerplate(name, bool(inside)) for name in whole):
             self.skipped = True
 
 
+def _boilerplate(name: str, in_article: bool) -> bool:
+    """Whether a class, id or role says that the element isn't the article."""
+    if name.lower() in BOILERPLATE:
+        return True
+    words = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    return any(w in BOILERPLATE and (w not in AMBIGUOUS or not in_article and i and i == len(words) - 1) for i, w in enumerate(words))
+
+
 def text_nodes(page: str) -> list[tuple[_Element, str, int]]:
     """(element, decoded text, block) of every text node outside skipped elements."""
     root = _Element("", None)

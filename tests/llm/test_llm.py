@@ -575,3 +575,20 @@ def test_window_sets_hold_few_bytes_for_each_window():
     hashes, place = own.windows[10]
     size = len(own.data) + own.starts.nbytes + own.ends.nbytes + own.ptr.nbytes + hashes.nbytes + place.nbytes
     assert len(hashes) == 100 * 1991 and size < 30 * len(hashes)
+
+
+def test_class_names_of_content_and_of_boilerplate():
+    said = "This paragraph speaks of the matter, at some length, and with marks; it is the article."
+    for name in ("bottom-line", "side-effects", "headerText", "search_results-text", "menu-of-the-day"):
+        assert main_text(f"<body><article><p>{said}</p><div class='{name}'><p>{said} Twice.</p></div></article></body>") == f"{said} {said} Twice.", name
+    for name in ("ad", "ad-slot", "commentList", "related-posts", "sidebar", "share_buttons", "menu", "Cookie-Notice"):
+        assert main_text(f"<body><article><p>{said}</p><div class='{name}'><p>{said} Twice.</p></div></article></body>") == said, name
+    for name in ("site-header", "right-rail", "mainMenu"):
+        assert main_text(f"<body><div class='{name}'><p>{said} Twice.</p></div><article><p>{said}</p></article></body>") == said, name
+        assert main_text(f"<body><div class='{name}'><p>{said} Twice.</p></div><div><p>{said}</p><p>{said}</p></div></body>") == f"{said} {said}", name
+
+
+def test_skipped_elements_at_any_depth():
+    said = "This paragraph speaks of the matter, at some length, and with marks; it is the article."
+    page = "<body>" + "<div>" * 300 + f"<nav>Home</nav><div class='cookie'>We use cookies, you know.</div><article><p>{said}</p></article><footer>Bye</footer>" + "</div>" * 300 + "</body>"
+    assert main_text(page) == said
