@@ -40,6 +40,7 @@ IDENTITY_TERMS = {
 
 STARTS = (4, 5, 6)
 _BITS = 20
+_AT_ONCE = 1 << 20
 
 
 def features(group: Group) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +119,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndar
     n = len(texts)
     rate = float(np.clip(labels.mean() if n else 0.5, 1e-3, 1 - 1e-3))
     bias = float(np.log(rate / (1 - rate)))
-    flat = np.sort(np.concatenate(texts)) if n else np.zeros(0, np.uint64)
+    flat = np.concatenate(texts) if n else np.zeros(0, np.uint64)
+    flat.sort()
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
     keys, counts = flat[first], np.diff(np.append(first, len(flat)))
     del flat
@@ -129,7 +131,19 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndar
     for text in texts:
         at = np.minimum(np.searchsorted(keys, text), len(keys) - 1)
         found.append(at[keys[at] == text].astype(np.int32))
-    row, col = np.repeat(np.arange(n), [len(c) for c in found]), np.concatenate(found)
+    del texts
+    ptr, col = np.concatenate([[0], np.cumsum([len(c) for c in found])]), np.concatenate(found)
+    del found
+    # some rows at a time, so that what a step makes besides the features themselves is small
+    cuts = np.unique(np.concatenate([np.searchsorted(ptr, np.arange(0, len(col), _AT_ONCE)), [n]]))
+    lots = [(a, b, slice(ptr[a], ptr[b]), np.diff(ptr[a : b + 1])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def by_row(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), k), weights=w[col[at]], minlength=b - a) for a, b, at, k in lots])
+
+    def by_feature(x: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(col[at], weights=np.repeat(x[a:b], k), minlength=len(keys)) for a, b, at, k in lots)
+
     # differences between a text and its swapped form: -1 for each feature that goes, +1 for each that comes
     sides = [[c[i] for c in changes] or [np.zeros(0, np.uint64)] for i in (0, 1)]
     pair_row = np.concatenate([np.repeat(np.arange(len(side)), [len(c) for c in side]) for side in sides]).astype(np.int64)
@@ -138,16 +152,15 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndar
     pair_col = np.minimum(np.searchsorted(keys, moved), len(keys) - 1)
     known_pair = keys[pair_col] == moved  # the others have weight 0
     pair_row, pair_col, sign = pair_row[known_pair], pair_col[known_pair], sign[known_pair]
-    one = np.bincount(col, weights=labels[row], minlength=len(keys))
-    none = np.bincount(col, weights=1 - labels[row], minlength=len(keys))
+    one, none = by_feature(labels), by_feature(1 - labels)
     scale = np.abs(np.log((one + 1) / (labels.sum() + 1)) - np.log((none + 1) / (n - labels.sum() + 1)))
     size, u = len(keys), np.zeros(len(keys))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
         w = u * scale
-        z = np.bincount(row, weights=w[col], minlength=n) + bias
+        z = by_row(w) + bias
         gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        grad = np.bincount(col, weights=gap[row], minlength=size) * scale + 2 * l2 * u / n
+        grad = by_feature(gap) * scale + 2 * l2 * u / n
         if len(pair_row):
             change = np.bincount(pair_row, weights=sign * w[pair_col], minlength=n)
             grad += 2 * swap_weight / n * np.bincount(pair_col, weights=sign * change[pair_row], minlength=size) * scale
@@ -192,7 +205,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = rows.select("_text", "_id", "_y").mapInArrow(words, f"id {kind}, y int, words binary, goes binary, comes binary").collect()
     got = sorted(got, key=lambda r: (r.id, r.words))[:max_rows]
     changes = [(np.frombuffer(r.goes, np.uint64), np.frombuffer(r.comes, np.uint64)) for r in got]
-    return fit([np.frombuffer(r.words, np.uint64) for r in got], np.array([r.y for r in got], float), changes, l2, swap_weight, min_docs)
+    known_labels, texts = np.array([r.y for r in got], float), [np.frombuffer(r.words, np.uint64) for r in got]
+    del got
+    held = [texts]
+    del texts
+    return fit(held.pop(), known_labels, changes, l2, swap_weight, min_docs)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
