@@ -1,19 +1,23 @@
 """Removal of passages of 50 words and more that documents share.
 
-The suffixes of all documents, cut off after 50 words, form a tree. Its nodes at depth 50 that suffixes of several documents
-reach are the repeated windows, and paths of them are the maximal repeats. The tree is built in parts:
+The suffixes of all documents, cut off after 50 words (*windows*), form a tree over words. Its nodes at depth 50 that suffixes
+of several documents reach are the repeated windows, and stretches of neighbouring ones are the maximal repeats. The tree is
+built in parts, each from the words themselves (:class:`Subtree`):
 
 - A window's *anchor* is the ten-word gram with the smallest hash in it (the leftmost of equals), a property of the window's
-  words alone. So equal windows have equal anchors at the same place, and windows with different anchors are in different
-  subtrees. Neighbouring windows share an anchor for some 20 words, and travel as one row, a *run*.
-- Anchors that one document alone has can't lead to a repeat. A first pass counts anchors and returns a bitmap of fixed
-  size of those that several documents have; it may let others pass too.
-- The rest is partitioned by prefixes of the anchor's hash. Their number of bits follows the number of input partitions, so
-  that a group fits in memory. Within a quarter of a million windows of a task, those that a smaller document among them has too are
-  decided at once, and only the others travel; so a passage that a third of all documents share sends a few rows from
-  each task to its group.
-- A group of more than a quarter of a million windows, as of an anchor in a line that most documents have, is split further by a
-  longer prefix. In a group the depth-50 nodes are (anchor, window fingerprint): 128 bits together. The smallest document of a node keeps it.
+  words alone, and stands in for its first words: equal windows have equal anchors, and windows with different anchors are in
+  different subtrees. Neighbours share an anchor for some 20 words, and travel as one *run* of text, where suffixes grouped by
+  their first words would each need their own 50 words.
+- Anchors that one document alone has can't lead to a repeat. A first pass counts the documents of anchors, and returns bitmaps
+  of fixed size of those that several documents have, and of *hot* ones that ``HOT`` have. Bits may be set for other anchors too.
+- The prefix of a hot anchor's windows is lengthened to all their words: a second pass counts these windows by a fingerprint,
+  dealt by it, so that only windows that several documents have travel, each to a group of its own. So no group grows with the
+  number of documents that have a line in common.
+- Groups are blocks of anchors, by leading bits of the hash whose number follows the number of input partitions. A block of more
+  than ``TOGETHER`` windows is taken in parts by further bits. Within as many windows of a task, those that a smaller
+  document among them has too are decided at once, and only the others travel.
+
+Hashes choose groups and candidates. What is removed is decided by the words.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ WINDOW = 50
 GRAM = 10
 #: Windows of so many that a task looks at together before it sends them on.
 TOGETHER = 1 << 18
+#: An anchor of so many documents is hot.
+HOT = 1 << 10
 
 
 def _least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,43 +86,104 @@ def signatures(group: Group) -> np.ndarray:
     return mix(sums[group.ptr[1:]] - sums[group.ptr[:-1]] + group.counts.astype(np.uint64)).view(np.int64)
 
 
-def _shared_anchors(docs: DataFrame, bits: int, window: int, gram: int):
+class Subtree:
+    """The part of the tree that some runs of text span; runs are of ``size`` windows, and each word ends with a space.
+
+    ``node`` is the node at depth ``window`` of each window, ``place`` its first word, ``at`` the byte offsets of words. Suffixes
+    are ranked by their first 1, 2, 4, ... words: ranks of pairs of ranks, which start from the distinct words. Equal ranks at a
+    depth are a node of that depth.
+    """
+
+    def __init__(self, text: bytes, size: np.ndarray, window: int) -> None:
+        self.at = np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.at) - 1, [None, pa.py_buffer(self.at), pa.py_buffer(text)])
+        rank, depth = words.dictionary_encode().indices.to_numpy().astype(np.uint64), 1
+        while depth < window:
+            step = min(depth, window - depth)
+            pair = rank << np.uint64(32)
+            pair[:-step] |= rank[step:]
+            rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
+            depth += step
+        size = size.astype(np.int64)
+        before = np.cumsum(size) - size
+        self.place = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)) * (window - 1), size)
+        self.inside = np.arange(len(self.place)) - np.repeat(before, size)
+        self.run = np.repeat(np.arange(len(size)), size)
+        self.node = rank[self.place]
+
+
+def _spaced(group: Group) -> tuple[bytes, np.ndarray]:
+    """A group's words, each with a space after it, and their offsets."""
+    at = np.concatenate([[0], np.cumsum(group.ends - group.starts + 1)])
+    out, letter = np.full(at[-1], 32, np.uint8), np.ones(at[-1], bool)
+    letter[at[1:] - 1] = False
+    out[letter] = group.data[NON_SPACE[group.data]]
+    return out.tobytes(), at
+
+
+_SEEN = np.dtype([("hash", "<u4"), ("doc", "<i8"), ("n", "<u4")])
+
+
+def _shared(docs: DataFrame, bits: int, pick, most: int, together: int) -> tuple:
+    """Broadcast bitmaps of hashes that several documents have, and that ``most`` have; ``pick`` gives a group's hashes and word places."""
+
+    def seen(hashes, doc):
+        """The least and the largest document of each hash, and the number of documents with the former."""
+        order = np.lexsort((doc, hashes))
+        hashes, doc = hashes[order], doc[order]
+        lead = np.ones(len(hashes), bool)
+        lead[1:] = hashes[1:] != hashes[:-1]
+        fresh = lead.copy()
+        fresh[1:] |= doc[1:] != doc[:-1]
+        first = np.flatnonzero(lead)
+        last = np.concatenate([first[1:], [len(hashes)]])[: len(first)] - 1
+        count = np.add.reduceat(fresh.astype(np.uint32), first)
+        wide = last[doc[last] != doc[first]]
+        key = np.concatenate([hashes[first], hashes[wide]])
+        entry = np.zeros(len(key), _SEEN)
+        entry["hash"], entry["doc"] = inner_hash(key, bits), np.concatenate([doc[first], doc[wide]])
+        entry["n"][: len(first)] = count
+        return records(["block", "blob"], in_blocks(key, bits, entry), [pa.int32(), pa.binary()])
+
     def send(batches):
+        held, n = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for group in groups(batch.column(1), NON_SPACE):
-                at, low, _, _ = windows(group, window, gram)
+                hashes, at = pick(group)
                 doc = ids[group.lo + np.searchsorted(group.ptr, at, "right") - 1].astype(np.int64)
-                for _ in range(2):  # neighbours share anchors; after that, sorted ones
-                    new = np.ones(len(low), bool)
-                    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-                    low, doc = low[new], doc[new]
-                    order = np.lexsort((low, doc))
-                    low, doc = low[order], doc[order]
-                entry = np.empty(len(low), np.dtype([("hash", "<u4"), ("doc", "<i8")]))
-                entry["hash"], entry["doc"] = inner_hash(low, bits), doc
-                yield from records(["block", "blob"], in_blocks(low, bits, entry), [pa.int32(), pa.binary()])
+                new = np.ones(len(hashes), bool)  # neighbours share anchors
+                new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+                held.append((hashes[new], doc[new]))
+                n += int(new.sum())
+                if n >= together:
+                    yield from seen(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, n = [], 0
+        if n:
+            yield from seen(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     def count(batches):
         def rows():
             for block, blobs in by_key(batches):
-                entry = np.concatenate([np.frombuffer(b, np.dtype([("hash", "<u4"), ("doc", "<i8")])) for b in blobs])
+                entry = np.concatenate([np.frombuffer(b, _SEEN) for b in blobs])
                 entry = entry[np.argsort(entry["hash"], kind="stable")]
                 first = np.flatnonzero(np.concatenate([[True], entry["hash"][1:] != entry["hash"][:-1]]))
                 several = np.minimum.reduceat(entry["doc"], first) != np.maximum.reduceat(entry["doc"], first)
-                yield block, flags(entry["hash"][first[several]], bits)
+                hot = np.add.reduceat(entry["n"].astype(np.int64), first) >= most
+                yield block, flags(entry["hash"][first[several]], bits), flags(entry["hash"][first[several & hot]], bits) if (several & hot).any() else None
 
-        yield from records(["block", "bitmap"], rows(), [pa.int32(), pa.binary()], 16)
+        yield from records(["block", "several", "hot"], rows(), [pa.int32(), pa.binary(), pa.binary()], 16)
 
     spread = docs.mapInArrow(send, "block int, blob binary").repartition(max(8, (1 << bits) // 2), "block").sortWithinPartitions("block")
-    got = {r.block: bytes(r.bitmap) for r in spread.mapInArrow(count, "block int, bitmap binary").collect()}  # 8 MB in all
-    return docs.sparkSession.sparkContext.broadcast(Bits(bits, got))
+    got = spread.mapInArrow(count, "block int, several binary, hot binary").collect()  # 16 MB in all
+    several, hot = {r.block: bytes(r.several) for r in got}, {r.block: bytes(r.hot) for r in got if r.hot is not None}
+    return tuple(docs.sparkSession.sparkContext.broadcast(Bits(bits, x) if x else None) for x in (several, hot))
 
 
-def _first_of(anchor: np.ndarray, mark: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _first_of(node: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether each window is in the smallest document of its node."""
-    order = np.lexsort((doc, mark, anchor))
-    new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (mark[order][1:] != mark[order][:-1])])
+    order = np.lexsort((doc, node))
+    new = np.concatenate([[True], node[order][1:] != node[order][:-1]])
     least = doc[order][np.flatnonzero(new)]
     out = np.empty(len(doc), bool)
     out[order] = doc[order] == least[np.cumsum(new) - 1]
@@ -133,67 +200,111 @@ def _stretches(flag: np.ndarray, start: np.ndarray, owner: np.ndarray):
     return owner[at][first], start[at][first], np.diff(np.concatenate([first, [len(at)]]))
 
 
-_HEAD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("sig", "<i8"), ("start", "<i4"), ("size", "<i4")])
+_HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("sig", "<i8"), ("start", "<i4"), ("size", "<i4"), ("bytes", "<i8")])
 _COVER = ["doc", "sig", "start", "size"]
+_COVER_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+
+def _joined(text: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
+    view = memoryview(text)
+    return b"".join([view[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+
+
+def _covers(flag: np.ndarray, head: np.ndarray, tree: Subtree):
+    """doc, sig, start, size of stretches of flagged windows."""
+    owner, begin, size = _stretches(flag, head["start"][tree.run] + tree.inside, tree.run)
+    return [pa.array(head["doc"][owner]), pa.array(head["sig"][owner]), pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32))]
 
 
-def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = HOT, together: int = TOGETHER) -> DataFrame:
     """(doc, sig, start, size): stretches of windows, from word ``start`` on, that start in a smaller document too.
 
-    docs has an integer ``id`` and ``text``.
+    docs has an integer ``id`` and ``text``. ``many`` documents make an anchor hot, and ``together`` windows are held at a time;
+    neither changes the result.
     """
     bits = block_bits(docs)
-    shared = _shared_anchors(docs, bits, window, gram)
+
+    def anchors(group):
+        at, low, _, _ = windows(group, window, gram)
+        return low, at
+
+    shared, hot = _shared(docs, bits, anchors, many, together)
+    if shared.value is None:
+        return docs.sparkSession.createDataFrame([], "doc long, sig long, start int, size int")
+    again = None
+    if hot.value is not None:
+
+        def hot_windows(group):
+            at, low, _, mark = windows(group, window, gram)
+            some = hot.value.test(low)
+            return mark[some], at[some]
+
+        again, _ = _shared(docs, bits, hot_windows, many, together)
 
     def send(batches):
+        parts, n = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            parts: list[tuple[np.ndarray, ...]] = []
             for group in groups(batch.column(1), NON_SPACE):
                 at, low, place, mark = windows(group, window, gram)
-                keep = shared.value.test(low)
+                keep = np.flatnonzero(shared.value.test(low))
+                single = np.zeros(len(keep), bool)
+                if again is not None:
+                    single = hot.value.test(low[keep])
+                    stay = ~single | (again.value.test(mark[keep]) if again.value is not None else False)
+                    keep, single = keep[stay], single[stay]
+                if not len(keep):
+                    continue
                 at, low, place, mark = at[keep], low[keep], place[keep], mark[keep]
-                row = np.searchsorted(group.ptr, at, "right") - 1
                 first, size = _runs(at, place)
-                parts.append((low, mark, ids[group.lo + row], signatures(group)[row], at - group.ptr[row], np.repeat(np.arange(len(first)), size)))
-                if sum(len(p[0]) for p in parts) >= TOGETHER:
+                row = np.searchsorted(group.ptr, at[first], "right") - 1
+                text, byte = _spaced(group)
+                head = np.empty(len(first), _HEAD)
+                head["key"], head["doc"], head["sig"] = low[first], ids[group.lo + row], signatures(group)[row]
+                head["start"], head["size"] = at[first] - group.ptr[row], size
+                begin, end = byte[at[first]], byte[at[first] + size + window - 1]
+                head["bytes"] = end - begin
+                parts.append((head, _joined(text, begin, end), mark, single))
+                if (n := n + len(mark)) >= together:
                     yield from settle(parts)
-                    parts = []
+                    parts, n = [], 0
+        if n:
             yield from settle(parts)
 
     def settle(parts):
         """Decides what these runs decide among themselves, and sends the rest."""
-        if not sum(len(p[0]) for p in parts):
-            return
-        low, mark, doc, sig, start = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        shift = np.cumsum([0, *(int(p[5][-1]) + 1 if len(p[5]) else 0 for p in parts)])
-        run = np.concatenate([p[5] + s for p, s in zip(parts, shift[:-1], strict=True)])
-        first = _first_of(low, mark, doc)
-        yield from _decided(~first, start, run, doc, sig)
-        # what is left of a run may be in several pieces
+        head, mark, single = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
+        text = b"".join(p[1] for p in parts)
+        parts.clear()
+        tree = Subtree(text, head["size"], window)
+        first = _first_of(tree.node, head["doc"][tree.run])
+        done = _covers(~first, head, tree)
+        if n := len(done[0]):
+            where = pa.array((done[0].to_numpy() % (1 << bits)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([where, pa.nulls(n, pa.binary()), *done], ["block", "blob", *_COVER])
+        # what is left of a run may be in several pieces; a hot anchor's windows go one by one
         keep = np.flatnonzero(first)
-        new = np.concatenate([[True], (run[keep][1:] != run[keep][:-1]) | (start[keep][1:] != start[keep][:-1] + 1)])
+        run, inside = tree.run[keep], tree.inside[keep]
+        new = np.concatenate([[True], (run[1:] != run[:-1]) | (inside[1:] != inside[:-1] + 1)]) | single[keep]
         begin = np.flatnonzero(new)
-        head = np.empty(len(begin), _HEAD)
         lead = keep[begin]
-        head["anchor"], head["doc"], head["sig"], head["start"] = low[lead], doc[lead], sig[lead], start[lead]
-        head["size"] = np.diff(np.concatenate([begin, [len(keep)]]))
-        block = (head["anchor"] >> np.uint64(64 - bits)).astype(np.int64)
-        order, piece = np.argsort(block, kind="stable"), np.cumsum(new) - 1
-        by = np.argsort(block[piece], kind="stable")
-        marks, head = mark[keep][by], head[order]
+        piece = head[tree.run[lead]]
+        piece["start"] += tree.inside[lead].astype(np.int32)
+        piece["size"] = np.diff(np.concatenate([begin, [len(keep)]]))
+        piece["key"] = np.where(single[lead], mark[lead], piece["key"])
+        low, high = tree.at[tree.place[lead]], tree.at[tree.place[lead] + piece["size"] + window - 1]
+        piece["bytes"] = high - low
+        block = (piece["key"] >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
         ends = np.searchsorted(block[order], np.arange((1 << bits) + 1))
-        mark_ends = np.searchsorted(block[piece][by], np.arange((1 << bits) + 1))
-        rows = ((b, np.int64(ends[b + 1] - ends[b]).tobytes() + head[ends[b] : ends[b + 1]].tobytes() + marks[mark_ends[b] : mark_ends[b + 1]].tobytes()) for b in range(1 << bits) if ends[b + 1] > ends[b])
-        for out in records(["block", "blob"], rows, [pa.int32(), pa.binary()], 256):
-            yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(len(out), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["block", "blob", *_COVER])
-
-    def _decided(flag, start, run, doc, sig):
-        owner, begin, size = _stretches(flag, start, run)
-        if len(owner):
-            lead = np.searchsorted(run, owner)
-            n = len(owner)
-            yield pa.RecordBatch.from_arrays([pa.array((doc[lead] % (1 << bits)).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(doc[lead]), pa.array(sig[lead]), pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32))], ["block", "blob", *_COVER])
+
+        def rows():
+            for b in np.flatnonzero(np.diff(ends)).tolist():
+                of = order[ends[b] : ends[b + 1]]
+                yield b, np.int64(len(of)).tobytes() + piece[of].tobytes() + _joined(text, low[of], high[of])
+
+        for out in records(["block", "blob"], rows(), [pa.int32(), pa.binary()], 256):
+            yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(len(out), t) for t in _COVER_TYPES)], ["block", "blob", *_COVER])
 
     def decide(batches):
         def blobs():
@@ -208,28 +319,25 @@ def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
         for _, parts in by_key(blobs()):
             yield from ready_rows
             ready_rows.clear()
-            heads, marks = [], []
+            heads, texts = [], []
             for blob in parts:
                 n = int(np.frombuffer(blob, np.int64, 1)[0])
                 heads.append(np.frombuffer(blob, _HEAD, n, 8))
-                marks.append(np.frombuffer(blob, np.uint64, offset=8 + n * _HEAD.itemsize))
-            head, mark = np.concatenate(heads), np.concatenate(marks)
-            heads = marks = parts = None
-            run = np.repeat(np.arange(len(head), dtype=np.int32), head["size"])
-            # a large group, as of an anchor that many documents share, is split by the longer prefix: bits of the fingerprint
-            again = np.zeros(len(mark), bool)
-            pieces = 1 << max(0, (len(mark) // TOGETHER).bit_length())
+                texts.append(memoryview(blob)[8 + n * _HEAD.itemsize :])
+            head, text = np.concatenate(heads), b"".join(texts)
+            heads = texts = parts = None
+            end = np.cumsum(head["bytes"])
+            pieces = 1 << max(0, int(head["size"].sum(dtype=np.int64)) // together).bit_length()
+            part_of = (head["key"] << np.uint64(bits)) >> np.uint64(64 - pieces.bit_length() + 1) if pieces > 1 else np.zeros(len(head), np.uint64)
             for k in range(pieces):
-                some = np.flatnonzero((mark & np.uint64(pieces - 1)) == np.uint64(k)) if pieces > 1 else np.arange(len(mark))
-                if len(some):
-                    of = run[some]
-                    again[some] = ~_first_of(head["anchor"][of], mark[some], head["doc"][of])
-            at = np.flatnonzero(again)
-            of = run[at]
-            start = head["start"][of] + (at - (np.cumsum(head["size"], dtype=np.int64) - head["size"])[of])
-            owner, begin, size = _stretches(np.ones(len(at), bool), start, of)
-            if len(owner):
-                yield pa.RecordBatch.from_arrays([pa.array(head["doc"][owner]), pa.array(head["sig"][owner]), pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32))], _COVER)
+                some = np.flatnonzero(part_of == k)
+                own = head[some]
+                if not len(some) or own["doc"].min() == own["doc"].max():
+                    continue
+                tree = Subtree(_joined(text, end[some] - own["bytes"], end[some]), own["size"], window)
+                found = _covers(~_first_of(tree.node, own["doc"][tree.run]), own, tree)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays(found, _COVER)
         yield from ready_rows
 
     spread = docs.mapInArrow(send, "block int, blob binary, doc long, sig long, start int, size int")
@@ -242,7 +350,7 @@ def _whole(raw: bytes) -> Group:
     return group
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False, many: int = HOT, together: int = TOGETHER) -> DataFrame:
     """One row for each row of docs: ``id_col``, n_words, n_removed, kept_sha256; with ``with_text`` also kept_text.
 
     Words that are in a window which also starts in a document with a smaller id are removed, judged on the input. Ids are
@@ -253,7 +361,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = docs.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "text")
-    found = scratch.save(covers(known, window, gram), "covers")
+    found = scratch.save(covers(known, window, gram, many, together), "covers")
     per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("sig", "start", "size")).alias("covers"))
     joined = docs.join(per_doc, F.col("id").cast("long") == F.col("doc"), "left").select("id", "text", "covers")
 

@@ -97,8 +97,8 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in jaccard_components(table(spark, rows)).collect()} == want
 
 
-def test_substrings(spark, texts):
-    rows = [(i, t) for i, t in texts]
+def removed(rows):
+    """Brute force: id, words, removed words and the digest of what is kept of each row."""
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     least = {}
     for i, w in sorted((x for x in words if x[0] is not None), key=lambda x: x[0]):
@@ -112,11 +112,33 @@ def test_substrings(spark, texts):
                 gone[j : j + 50] = [True] * 50
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((-1 if i is None else i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in dedup_substrings(table(spark, rows)).collect()]
-    assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 500
+    return sorted(want)
+
+
+def cut(df):
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect())
+
+
+def test_substrings(spark, texts):
+    rows = [(i, t) for i, t in texts]
+    want = removed(rows)
+    assert cut(dedup_substrings(table(spark, rows))) == want and sum(w[2] for w in want) > 500
     assert dedup_substrings(table(spark, [])).collect() == []
 
 
+def test_substrings_under_hot_anchors_and_in_parts(spark):
+    rng = random.Random(21)
+    line, passage = prose(rng, 14), prose(rng, 70)
+    rows = []
+    for i in range(60):
+        own = prose(rng, 80)
+        rows += [(3 * i, f"{own} {line}\n{prose(rng, 60)}"), (3 * i + 1, f"{prose(rng, 30)}\t{passage}  {prose(rng, 30)}"), (3 * i + 2, f"{own} {line} {own}" if i % 3 else "same " * 120)]
+    want = removed(rows)
+    docs = table(spark, rows).repartition(5)
+    assert cut(dedup_substrings(docs)) == want and sum(w[2] for w in want) > 3000
+    assert cut(dedup_substrings(docs, many=3, together=200)) == want
+
+
 def test_decontamination(spark, texts):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     fold = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
