@@ -66,7 +66,7 @@ def windows(group: Group, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nd
     values, where = row_grams(group.hashes, group.ptr, gram, salt=17)
     grams[where] = values
     low, place = _least(grams, window - gram + 1)
-    return at, low[at], place[at], marks
+    return at, mix(low[at]), place[at], marks  # least hashes are small, so mixed again they spread over the blocks
 
 
 def _runs(at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
