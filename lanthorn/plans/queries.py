@@ -19,9 +19,10 @@ from lanthorn.operators.detectors import LongLine, default_detectors
 from lanthorn.operators.engine import classified, long_lines
 from lanthorn.operators.rules import default_rule_set
 from lanthorn.operators.suppress import extract_directives
-from lanthorn.plans.corpus import corpus
+from lanthorn.plans.corpus import corpus, diffs
 from lanthorn.plans.report import annotations, count_by_severity, should_fail, summary
 from lanthorn.plans.scan import kept_findings, order, raw_findings
+from lanthorn.sources.diff import parse_diffs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _COLUMNS = ["file", "line", "rule_id", "severity", "score"]
@@ -71,6 +72,36 @@ def report_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations(kept_findings(files, raw_findings(files)))
 
 
+def _kept_without_network(spark: SparkSession, sf_dir: str, min_severity: str = "info") -> DataFrame:
+    """A scan with network-then-exec disabled, whose bash form SQL can't follow."""
+    files = corpus(spark, sf_dir)
+    return kept_findings(files, raw_findings(files, disabled=["obf.network-then-exec"]), min_severity=min_severity)
+
+
+def blocking_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan with a disabled detector and a severity floor."""
+    return _kept_without_network(spark, sf_dir, "block").select(*_COLUMNS)
+
+
+def enabled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a scan with a disabled detector keeps."""
+    return _kept_without_network(spark, sf_dir).select(*_COLUMNS)
+
+
+def enabled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_by_severity(_kept_without_network(spark, sf_dir))
+
+
+def enabled_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(_kept_without_network(spark, sf_dir))
+
+
+def diff_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added lines of a column of diffs; deleted files have none."""
+    found = parse_diffs(diffs(spark, sf_dir), "doc_id", "diff")
+    return found.select("doc_id", "path", "status", F.explode("added_ranges").alias("r")).select("doc_id", "path", "status", F.col("r.start").alias("first_line"), F.col("r.end").alias("last_line"))
+
+
 def directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_directives(corpus(spark, sf_dir)).select("path", "line", F.concat_ws(",", "rule_ids").alias("rule_ids"))
 
@@ -131,5 +162,5 @@ def queries() -> dict[str, Query]:
         "manifest_scripts": "obf.manifest-install-script", "python_setup": "obf.python-setup-side-effect", "perl_makefile": "obf.perl-makefile-side-effect", "cargo_build": "obf.cargo-build-rs-network",
         "workflow_pipe": "obf.gha-curl-pipe-shell", "dockerfile_pipe": "obf.dockerfile-curl-pipe-shell",
     }
-    plain = [long_line_documents, long_line_pages, language_counts, severity_counts, pass_or_fail, report_summary, report_annotations, directives, suppressed_by_directive, allowlisted, changed_lines, top_findings, top_of_report, snippet_hashes, finding_hashes]
+    plain = [long_line_documents, long_line_pages, language_counts, severity_counts, pass_or_fail, report_summary, report_annotations, blocking_findings, enabled_findings, enabled_counts, enabled_summary, diff_ranges, directives, suppressed_by_directive, allowlisted, changed_lines, top_findings, top_of_report, snippet_hashes, finding_hashes]
     return {f.__name__: f for f in plain} | {f"rule_{k}": _rule(v) for k, v in rules.items()}
