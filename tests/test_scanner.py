@@ -42,7 +42,7 @@ CASES = [
     ("b/14.js", "eval(await (await fetch(url)).text());", ["obf.network-then-exec"], []),
     ("b/15.py", "import requests\nexec(requests.get(url).text)", ["obf.network-then-exec"], []),
     ("b/16.sh", 'eval "$(curl -s $URL)"', ["obf.network-then-exec"], []),
-    ("b/17.ts", "async load() { const r = await fetch(this.u); return r.json(); }", [], ["obf.network-then-exec"]),
+    ("b/17.ts", "const page = got(address).then(show); render(page);", [], ["obf.network-then-exec"]),
     ("b/18.py", "def go(b):\n    return pickle.loads(b)", ["obf.deserializer-untrusted"], []),
     ("b/19.rb", "Marshal.load(io)", ["obf.deserializer-untrusted.ruby"], []),
     ("b/20.js", "function go(s) { return JSON.parse(s); }", [], ["obf.deserializer-untrusted"]),
