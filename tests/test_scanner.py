@@ -96,6 +96,18 @@ CASES = [
     ("e/23.php", "<?php echo htmlspecialchars($name);", [], ["obf"]),
     ("e/24.rb", "class Point\n  attr_reader :x\nend", [], ["obf"]),
     ("e/25.sh", "set -e\nmake all", [], ["obf"]),
+    ("f/1.js", "const run = new AsyncFunction(body);", ["obf.dynamic-exec-with-non-literal.javascript"], []),
+    ("f/2.js", "const worker = child_process.fork('./' + name);", ["obf.shell-with-untrusted-input.javascript"], []),
+    ("f/3.py", "spec = importlib.util.spec_from_file_location(name, place)", ["obf.dynamic-exec-with-non-literal.python", "obf.library-load-non-literal.python"], []),
+    ("f/4.py", "exec(requests.delete(address).text)", ["obf.network-then-exec.python"], []),
+    ("f/5.py", 'os.execlpe(tool, tool, f"{flag}", env)', ["obf.shell-with-untrusted-input.python"], []),
+    ("f/6.java", "Order o = mapper.readValue(body, Order.class);", ["obf.deserializer-untrusted.java"], []),
+    ("f/7.java", 'new ProcessBuilder.start("ls " + name);', ["obf.shell-with-untrusted-input.java"], []),
+    ("f/8.go", "fn := reflect.MakeFunc(kind, body)", ["obf.dynamic-exec-with-non-literal.go"], []),
+    ("f/9.rs", "let v = nix::unistd::execvp(folder + name, list);", ["obf.shell-with-untrusted-input.rust"], []),
+    ("f/10.js", "return new Promise((resolve) => resolve(1));", [], ["obf"]),
+    ("f/11.java", "Pattern p = Pattern.matcher(text);", [], ["obf"]),
+    ("f/12.go", "t.Run(name, check)\nflag.Lookup(name)\nonce.Do(check)", [], ["obf"]),
     ("d/null.js", None, [], ["obf"]),
     ("d/empty.js", "", [], ["obf"]),
 ]
