@@ -96,7 +96,6 @@ def oracle_sql() -> dict[str, str]:
         "directives": f"WITH {_lines()} SELECT path, n AS line, trim(regexp_extract(t, 'lanthorn-disable-line *([A-Za-z0-9_.-]*)', 1)) AS rule_ids FROM lines WHERE contains(t, 'lanthorn-disable-line')",
         "suppressed_by_directive": dynamic("contains(t, 'lanthorn-disable-line obf.other')"),
         "changed_lines": dynamic(f"{_UNMARKED} AND n BETWEEN 1 AND 4"),
-        "top_findings": f"SELECT * FROM ({_found(chr(39) + 'obf.bidi-control' + chr(39), 'block', '10', 'contains(t, chr(8238))')}) ORDER BY file, line LIMIT 50",
         "pass_or_fail": f"WITH {_lines()} SELECT count(*) > 0 AS failed FROM lines WHERE contains(t, chr(8238))",
         "snippet_hashes": "SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM documents",
         "allowlisted": f"""SELECT * FROM ({dynamic(f"{_UNMARKED} AND path NOT LIKE 'vendor/%'")}) UNION ALL
@@ -110,6 +109,7 @@ def oracle_sql() -> dict[str, str]:
     return out | {
         "enabled_findings": enabled,
         "blocking_findings": f"SELECT * FROM ({enabled}) WHERE severity = 'block'",
+        "top_findings": f"SELECT * FROM ({enabled}) ORDER BY CASE severity WHEN 'block' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END, score DESC, file, line, rule_id LIMIT 50",
         "enabled_counts": f"SELECT {counted} FROM ({enabled})",
         "enabled_summary": f"SELECT family, rule_id, severity, count(*) AS n, max(score) AS top_score FROM (SELECT *, regexp_extract(rule_id, '^[^.]*[.][^.]*') AS family FROM ({enabled})) GROUP BY ROLLUP (family, rule_id, severity)",
     }

@@ -128,10 +128,8 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 50 findings of bidi-control alone, as its SQL has it; ``top_of_report`` ranks all rules."""
-    files = corpus(spark, sf_dir)
-    found = kept_findings(files, raw_findings(files).where(F.col("rule_id") == "obf.bidi-control"))
-    return found.orderBy(*order()).limit(50).select(*_COLUMNS)
+    """The first 50 of the total order over all rules but network-then-exec; ``top_of_report`` ranks that too."""
+    return _kept_without_network(spark, sf_dir).orderBy(*order()).limit(50).select(*_COLUMNS)
 
 
 def snippet_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
