@@ -52,9 +52,9 @@ def records(names: list[str], rows: Iterator[tuple], types: list[pa.DataType], m
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
 
-def flags(inner: np.ndarray, bits: int) -> bytes:
-    """A block's segment of the bitmap, with the bits of 32-bit inner hashes set."""
-    width = max(8, BITMAP_BITS >> bits)
+def flags(inner: np.ndarray, bits: int, each: int = 0) -> bytes:
+    """A block's segment of the bitmap, with the bits of 32-bit inner hashes set; it has ``each`` bits a hash at least."""
+    width = max(8, BITMAP_BITS >> bits, -(-each * len(inner) // 8) * 8)
     out = np.zeros(width, np.uint8)
     out[((inner.astype(np.uint64) * np.uint64(width)) >> np.uint64(32)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -77,3 +77,20 @@ class Bits:
         block = hashes >> np.uint64(64 - self.bits)
         at = (block * np.uint64(self.width) + ((inner_hash(hashes, self.bits).astype(np.uint64) * np.uint64(self.width)) >> np.uint64(32))).astype(np.int64)
         return (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+class Pieces:
+    """Segments of some blocks that follow each other, each as wide as it is; blocks without one let nothing pass."""
+
+    def __init__(self, bits: int, segments: dict[int, bytes]) -> None:
+        self.bits, self.first, self.last = bits, min(segments), max(segments)
+        parts = [segments.get(i, bytes(1)) for i in range(self.first, self.last + 1)]
+        self.width = np.array([8 * len(x) for x in parts], np.uint64)
+        self.start = np.cumsum(self.width) - self.width
+        self.map = np.frombuffer(b"".join(parts), np.uint8)
+
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        """Hashes must lie in the blocks from first to last."""
+        block = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) - self.first
+        at = (self.start[block] + ((inner_hash(hashes, self.bits).astype(np.uint64) * self.width[block]) >> np.uint64(32))).astype(np.int64)
+        return (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

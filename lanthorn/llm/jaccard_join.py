@@ -2,9 +2,10 @@
 
 Rows of the matrix are *classes*, the distinct shingle sets, so that exact copies are one row. Columns are hashed shingles.
 
-1. Counting. A bitmap of the shingles that more than one document has, and the most frequent shingles with their counts. Both
-   have a fixed size (``BITMAP_BITS`` and ``HOT_KEYS``), so they can be broadcast whatever the input is. They steer the work
-   alone: with a full bitmap, or more frequent shingles than fit, results stay the same.
+1. Counting. A bitmap of the shingles that more than one document has, and the most frequent shingles with their counts. The
+   bitmap has ``BITS_EACH`` bits for each of these shingles at least, so that it doesn't fill up as the input grows; it is broadcast
+   in pieces of ``PIECE_BYTES``, of which the driver and a worker hold one at a time. The frequent ones are at most ``HOT_KEYS``.
+   Both steer the work alone: results stay the same whatever they hold.
 2. Incidence. A link needs ceil(percent * n) shingles of a set of n to be shared. A class with fewer is dropped (a bound that
    its size gives); of the others, the matrix keeps the shared shingles, rarest first. Texts are read for this and for counting,
    and not again. Two classes that link share one of the first s - ceil(percent * n) + 1 of their s shared shingles: these
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanthorn.llm.blocks import Bits, block_bits, by_key, flags, in_blocks, inner_hash, records
+from lanthorn.llm.blocks import Pieces, block_bits, by_key, flags, in_blocks, inner_hash, records
 from lanthorn.llm.graph import components
 from lanthorn.llm.scratch import Scratch
 from lanthorn.llm.textcore import LOWER, NON_SPACE, Group, gram_hashes, groups, mix, row_grams
@@ -40,6 +41,12 @@ SHINGLE = 5
 HOT_KEYS = 1 << 20
 #: Shingles of fewer documents aren't called frequent.
 HOT_FROM = 24
+#: Bits of the bitmap for each shared shingle: at most two fifths of them are set.
+BITS_EACH = 2
+#: About so much of the bitmap is broadcast at once.
+PIECE_BYTES = 8 << 20
+#: With several pieces, so many shingles are tested together.
+HELD = 1 << 21
 #: A row block has about so many rows and shingles at most; a larger set is a block of its own.
 BLOCK_ROWS, BLOCK_CELLS = 1024, 1 << 19
 
@@ -90,15 +97,26 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Order:
-    """The broadcast part: which shingles are shared, and which are frequent."""
+    """Which shingles are frequent. Which are shared is in ``pieces``, broadcasts of :class:`Pieces` in the order of ``firsts``, their first blocks."""
 
-    def __init__(self, bits: int, segments: dict[int, bytes], hot: np.ndarray, levels: np.ndarray) -> None:
-        self.bits, self.seen = bits, Bits(bits, segments)
+    def __init__(self, bits: int, hot: np.ndarray, levels: np.ndarray, firsts: list[int]) -> None:
+        self.bits, self.firsts = bits, np.array(firsts, np.int64)
         order = np.argsort(hot)
         self.hot, self.levels = hot[order], levels[order]
 
-    def shared(self, hashes: np.ndarray) -> np.ndarray:
-        return self.seen.test(hashes)
+    def shared(self, hashes: np.ndarray, pieces: list) -> np.ndarray:
+        out = np.zeros(len(hashes), bool)
+        which = np.searchsorted(self.firsts, (hashes >> np.uint64(64 - self.bits)).astype(np.int64), "right").astype(np.uint16)
+        order = np.argsort(which, kind="stable") if len(pieces) > 1 else np.arange(len(hashes))
+        cuts = np.cumsum(np.bincount(which, minlength=len(pieces) + 1))
+        for a, b, piece in zip(cuts[:-1].tolist(), cuts[1:].tolist(), pieces, strict=True):
+            if b > a:
+                # not kept by the worker, where there are several
+                part = piece.load_from_path(piece._path) if len(pieces) > 1 and piece._path else piece.value
+                at = order[a:b]
+                at = at[(hashes[at] >> np.uint64(64 - self.bits)).astype(np.int64) <= part.last]
+                out[at] = part.test(hashes[at])
+        return out
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         """Sorts rare shingles first, then by hash."""
@@ -110,7 +128,9 @@ class Order:
         return key
 
 
-def _count(docs: DataFrame, text: str, bits: int) -> Order:
+def _count(docs: DataFrame, text: str, bits: int, scratch: Scratch) -> tuple:
+    """Broadcasts of the :class:`Order` and of its pieces."""
+
     def send(batches):
         for batch in batches:
             for group in groups(batch.column(0), NON_SPACE, LOWER, 8 << 20):
@@ -125,20 +145,37 @@ def _count(docs: DataFrame, text: str, bits: int) -> Order:
                 keys, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in blobs]), return_counts=True)
                 hot = np.flatnonzero(n >= HOT_FROM)
                 hot = hot[np.argsort(-n[hot], kind="stable")[:share]]
-                yield block, flags(keys[n > 1], bits), keys[hot].tobytes(), np.minimum(n[hot], 1 << 30).astype(np.int32).tobytes()
+                yield block, flags(keys[n > 1], bits, BITS_EACH), keys[hot].tobytes(), np.minimum(n[hot], 1 << 30).astype(np.int32).tobytes()
 
         yield from records(["block", "bitmap", "hot", "counts"], rows(), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], 16)
 
     blobs = docs.select(text).mapInArrow(send, "block int, blob binary")
     counted = blobs.repartition(max(8, (1 << bits) // 2), "block").sortWithinPartitions("block").mapInArrow(count, "block int, bitmap binary, hot binary, counts binary")
-    rows = counted.collect()  # BITMAP_BITS and HOT_KEYS bound what comes here
-    hot = [(np.uint64(r.block) << np.uint64(32)) | np.frombuffer(r.hot, np.uint32).astype(np.uint64) for r in rows]
-    levels = [np.floor(np.log2(np.frombuffer(r.counts, np.int32))).astype(np.uint64) for r in rows]
-    none = [np.zeros(0, np.uint64)]
-    return Order(bits, {r.block: bytes(r.bitmap) for r in rows}, np.concatenate(hot or none), np.concatenate(levels or none))
-
-
-def _incidence(docs: DataFrame, order, percent: int) -> DataFrame:
+    counted = scratch.save(counted, "counted")
+    sc = docs.sparkSession.sparkContext
+    pieces, firsts, held, hot, levels = [], [], {}, [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+
+    def send_piece() -> None:
+        if held:
+            firsts.append(min(held))
+            pieces.append(sc.broadcast(Pieces(bits, held)))
+            held.clear()
+
+    size = 0
+    for r in counted.orderBy("block").toLocalIterator():
+        held[r.block] = bytes(r.bitmap)
+        size += len(r.bitmap)
+        hot.append((np.uint64(r.block) << np.uint64(32)) | np.frombuffer(r.hot, np.uint32).astype(np.uint64))
+        levels.append(np.floor(np.log2(np.frombuffer(r.counts, np.int32))).astype(np.uint64))
+        if size >= PIECE_BYTES:
+            send_piece()
+            size = 0
+    send_piece()
+    scratch.drop(counted)
+    return sc.broadcast(Order(bits, np.concatenate(hot), np.concatenate(levels), firsts)), pieces
+
+
+def _incidence(docs: DataFrame, order, pieces: list, percent: int) -> DataFrame:
     """(id, n, h1, h2, shared) of every row of docs (id, text).
 
     shared, the shared shingles from the rarest on, is null where the class can't link with another, or where the task has
@@ -147,12 +184,13 @@ def _incidence(docs: DataFrame, order, percent: int) -> DataFrame:
 
     def run(batches):
         own, sent = order.value, set()
-        for batch in batches:
-            for group in groups(batch.column(1), NON_SPACE, LOWER):
-                hashes, ptr = shingle_sets(group)
+
+        def tested(held):
+            every = own.shared(np.concatenate([h for _, h, _ in held]), pieces)
+            cuts = np.cumsum([len(h) for _, h, _ in held])[:-1]
+            for (ids, hashes, ptr), shared in zip(held, np.split(every, cuts), strict=True):
                 h1, h2 = class_ids(hashes, ptr)
-                n, known = np.diff(ptr), np.array(batch.column(0).slice(group.lo, group.hi - group.lo).is_valid())
-                shared = own.shared(hashes)
+                n, known = np.diff(ptr), np.array(ids.is_valid())
                 some = np.concatenate([[0], np.cumsum(shared)])[ptr]
                 blobs: list[bytes | None] = [None] * len(n)
                 for r in np.flatnonzero((n > 0) & known & (np.diff(some) >= needed(n, percent))).tolist():
@@ -160,7 +198,18 @@ def _incidence(docs: DataFrame, order, percent: int) -> DataFrame:
                         sent.add(key)
                         part = hashes[ptr[r] : ptr[r + 1]][shared[ptr[r] : ptr[r + 1]]]
                         blobs[r] = part[np.argsort(own.keys(part), kind="stable")].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(group.lo, group.hi - group.lo), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), pa.array(blobs, pa.binary())], ["id", "n", "h1", "h2", "shared"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), pa.array(blobs, pa.binary())], ["id", "n", "h1", "h2", "shared"])
+
+        for batch in batches:
+            held, size = [], 0
+            for group in groups(batch.column(1), NON_SPACE, LOWER):
+                held.append((batch.column(0).slice(group.lo, group.hi - group.lo), *shingle_sets(group)))
+                size += len(held[-1][1])
+                if len(pieces) <= 1 or size >= HELD:
+                    yield from tested(held)
+                    held, size = [], 0
+            if held:
+                yield from tested(held)
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, shared binary")
@@ -285,6 +334,7 @@ def _across(met: DataFrame, rows: DataFrame, near: DataFrame, percent: int, scra
     sizes = homes.groupBy("home", "inner", "level").agg(lots.alias("lots"))
     blocks = homes.join(sizes, ["home", "inner", "level"])
     blocks = scratch.save(blocks.select("node", "n", "component", "level", F.xxhash64("home", "inner", "level", F.pmod(F.xxhash64("node"), "lots")).alias("block")), "blocks")
+    scratch.sweep()
     held = entries.select("column", "node").join(blocks.select("node", "level", "component", "block"), "node")
     held = held.groupBy("column", "block").agg(*[f(c).alias(f"{name}_{c}") for c in ("level", "component") for f, name in ((F.min, "least"), (F.max, "most"))])
     a, b = held.alias("a"), held.alias("b")
@@ -307,16 +357,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    order = spark.sparkContext.broadcast(_count(docs, "text", block_bits(docs)))
-    seen = scratch.save(_incidence(docs, order, percent), "incidence")
+    order, pieces = _count(docs, "text", block_bits(docs), scratch)
+    scratch.sweep()
+    seen = scratch.save(_incidence(docs, order, pieces, percent), "incidence")
     signed = seen.select("id", "n", "h1", "h2")
     rows = seen.where("id IS NOT NULL AND n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("first_id"), F.first("shared", ignorenulls=True).alias("shared")).where("shared IS NOT NULL")
     rows = scratch.save(rows.withColumn("node", F.monotonically_increasing_id()), "rows")  # the written table fixes the numbers
     entries = _entries(rows, percent)
     columns = entries.groupBy("column").agg(F.min("node").alias("anchor"), F.max("node").alias("last")).where("anchor <> last").drop("last")
     met = scratch.save(entries.join(columns, "column"), "met")
+    scratch.sweep()
     first = scratch.save(_verified(_stars(met), rows, percent), "links")
     near = scratch.save(components(first, scratch), "near")
+    scratch.sweep()
     second = _across(met, rows, near, percent, scratch)
     # rows with one id and several texts
     again = signed.where("id IS NOT NULL AND n > 0").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import tempfile
@@ -65,6 +66,11 @@ class Scratch:
         """Deletes a saved table that nothing reads any more."""
         self._remove(df._scratch_path)
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of finished queries, which else stay until the driver happens to collect garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def fixed_point(step: Callable[[DataFrame], tuple[DataFrame, bool]], start: DataFrame, most: int = 100) -> DataFrame:
     state = start

@@ -97,6 +97,36 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in jaccard_components(table(spark, rows)).collect()} == want
 
 
+def test_jaccard_bitmap_grows_with_shared_shingles():
+    from types import SimpleNamespace
+
+    from lanthorn.llm.blocks import Pieces, flags, inner_hash
+    from lanthorn.llm.jaccard_join import BITS_EACH, Order
+
+    rng, bits = np.random.default_rng(1), 16
+    hashes = rng.integers(3 << 48, 9 << 48, 60000, dtype=np.uint64)  # blocks 3 to 8, of 1,024 bits when nothing is shared
+    shared, other = hashes[:30000], hashes[30000:]
+    block = (shared >> np.uint64(48)).astype(int)
+    made = {b: flags(inner_hash(shared[block == b], bits), bits, BITS_EACH) for b in (3, 4, 6, 7)}
+    pieces = [SimpleNamespace(value=Pieces(bits, {b: made[b] for b in some}), _path=None) for some in ((3, 4), (6, 7))]
+    none = np.zeros(0, np.uint64)
+    order = Order(bits, none, none, [3, 6])
+    assert (order.shared(shared, pieces) == np.isin(block, (3, 4, 6, 7))).all()
+    among = other[np.isin((other >> np.uint64(48)).astype(int), (3, 4, 6, 7))]
+    assert order.shared(among, pieces).mean() < 0.45
+    assert not order.shared(np.array([0, 9 << 48], np.uint64), pieces).any()
+    assert not Order(bits, none, none, []).shared(shared, []).any()
+
+
+def test_jaccard_in_several_pieces(spark, texts, monkeypatch):
+    from lanthorn.llm import jaccard_join
+
+    want = sorted(map(str, jaccard_components(table(spark, texts)).collect()))
+    monkeypatch.setattr(jaccard_join, "PIECE_BYTES", 1 << 20)
+    monkeypatch.setattr(jaccard_join, "HELD", 50)
+    assert sorted(map(str, jaccard_components(table(spark, texts)).collect())) == want
+
+
 def removed(rows):
     """Brute force: id, words, removed words and the digest of what is kept of each row."""
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
