@@ -27,11 +27,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanthorn.llm.blocks import Pieces, block_bits, by_key, flags, in_blocks, inner_hash, records
+from lanthorn.llm.blocks import Bits, Pieces, block_bits, by_key, flags, in_blocks, inner_hash, records
 from lanthorn.llm.graph import components
 from lanthorn.llm.scratch import Scratch
 from lanthorn.llm.textcore import LOWER, NON_SPACE, Group, gram_hashes, groups, mix, row_grams
@@ -386,6 +387,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.cast(docs.schema["id"].dataType).alias("component_id"))
 
 
+def _listed(rows: DataFrame, id_col: str) -> Column:
+    """False where an id isn't in rows; else true, but for some others too. A bitmap of fixed size is broadcast; a full one says true."""
+    bits = block_bits(rows)
+
+    def send(batches):
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            yield from records(["block", "blob"], in_blocks(keys, bits, inner_hash(keys, bits)), [pa.int32(), pa.binary()])
+
+    def mark(batches):
+        marked = ((block, flags(np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in blobs])), bits)) for block, blobs in by_key(batches))
+        yield from records(["block", "bitmap"], marked, [pa.int32(), pa.binary()], 16)
+
+    blobs = rows.select(F.xxhash64(id_col)).mapInArrow(send, "block int, blob binary")
+    found = blobs.repartition("block").sortWithinPartitions("block").mapInArrow(mark, "block int, bitmap binary").collect()
+    seen = rows.sparkSession.sparkContext.broadcast(Bits(bits, {r.block: bytes(r.bitmap) for r in found}))
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(seen.value.test(keys.to_numpy(np.int64).view(np.uint64)))
+
+    return test(F.xxhash64(id_col))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """The rows of docs, with all their columns, of the smallest id of each component; one row of each id.
 
@@ -395,8 +420,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     scratch = Scratch(docs.sparkSession, "keep")
     ids = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
     odd = scratch.save(ids.where((F.col("component_id") != F.col(id_col)) | (F.col("rows") > 1)), "odd")
-    rest = docs.join(odd.select(id_col), id_col, "left_anti").select(*docs.columns)
-    again = docs.join(odd.where(F.col("component_id") == F.col(id_col)).select(id_col), id_col, "left_semi")
+    scratch.sweep()
+    listed = _listed(odd, id_col)
+    # rows that surely aren't odd stay as they are, and only the others are dealt out for the joins
+    some = docs.where(listed)
+    rest = docs.where(~listed).unionByName(some.join(odd.select(id_col), id_col, "left_anti").select(*docs.columns))
+    again = some.join(odd.where(F.col("component_id") == F.col(id_col)).select(id_col), id_col, "left_semi")
     if any("map<" in kind or kind == "variant" for _, kind in docs.dtypes):  # rows that can't be put in order
         return rest.unionByName(again.dropDuplicates([id_col]).select(*docs.columns))
     places = [docs.columns.index(text_col), *(i for i, c in enumerate(docs.columns) if c != text_col)]

@@ -127,6 +127,15 @@ def test_jaccard_in_several_pieces(spark, texts, monkeypatch):
     assert sorted(map(str, jaccard_components(table(spark, texts)).collect())) == want
 
 
+def test_keep_one_deals_out_few_rows(spark):
+    from lanthorn.llm.jaccard_join import _listed
+
+    docs, odd = spark.range(20000), spark.range(0, 20000, 100)
+    got = {r.id for r in docs.where(_listed(odd, "id")).collect()}
+    assert got >= set(range(0, 20000, 100)) and len(got) < 300
+    assert docs.where(_listed(odd.where("id < 0"), "id")).count() == 0
+
+
 def removed(rows):
     """Brute force: id, words, removed words and the digest of what is kept of each row."""
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
