@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import re
@@ -37,6 +38,28 @@ def ready(spark: SparkSession) -> None:
     env["MALLOC_MMAP_THRESHOLD_"], env["MALLOC_TRIM_THRESHOLD_"], env["MALLOC_ARENA_MAX"] = "4194304", "16777216", "2"
 
 
+def trim(spark: SparkSession) -> str:
+    """Gives the system back what the allocators of the driver's Python and JVM hold free, some hundreds of MB after many queries.
+
+    Returns what the JVM says of it, or nothing where it has no such command.
+    """
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+    try:
+        jvm, gateway = spark._jvm, spark.sparkContext._gateway
+        of = jvm.java.lang.Class.forName
+        kinds, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]):
+            kinds[i] = of(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return str(of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values))  # the server's own class is not open
+    except Exception:  # another JVM
+        return ""
+
+
 class Scratch:
     """Written tables of one operator. They outlive executors, and go when the driver ends or when :meth:`drop` is called."""
 
@@ -67,9 +90,10 @@ class Scratch:
         self._remove(df._scratch_path)
 
     def sweep(self) -> None:
-        """Lets Spark delete the shuffle files of finished queries, which else stay until the driver happens to collect garbage."""
+        """Lets Spark delete the shuffle files of finished queries, which else stay until the driver happens to collect garbage, and trims the driver's memory."""
         gc.collect()
         self.spark._jvm.System.gc()
+        trim(self.spark)
 
 
 def fixed_point(step: Callable[[DataFrame], tuple[DataFrame, bool]], start: DataFrame, most: int = 100) -> DataFrame:

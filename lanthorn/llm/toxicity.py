@@ -11,7 +11,8 @@ too, and one comes if none had it. Words and their starts are covered alike, and
 a term's own mention can't move a score much unless words around it do, which lowers false positives on neutral mentions of groups.
 
 Training uses at most ``max_rows`` labelled rows, those with the smallest hash of their id: that alone bounds what the driver
-holds, 8 bytes for each distinct feature of each of these rows. Training and scoring read every whole text.
+holds, 8 bytes for each distinct feature of each of these rows. They are written first and reach the driver a part at a time, as what
+is collected at once is held several times over meanwhile. Training and scoring read every whole text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lanthorn.llm.scratch import ready
+from lanthorn.llm.scratch import Scratch, ready
 from lanthorn.llm.textcore import ALNUM, LOWER, Group, groups, mix, span_hashes
 
 # Identity terms by category, a list for each language (English, German, French, Spanish).
@@ -178,7 +179,7 @@ def _remainder(id_col: str, by: int):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_of: int = 4, held_out: int = 2, max_rows: int = 6000, l2: float = 0.5, swap_weight: float = 5.0, min_docs: int = 2) -> Model:
     """Fits the classifier on labelled rows whose crc32(id) mod ``held_out_of`` isn't ``held_out``."""
-    ready(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     known = known.where(_remainder("_id", held_out_of) != held_out).groupBy("_id").agg(F.max("_y").alias("_y"))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
@@ -202,14 +203,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(columns, ["id", "y", "words", "goes", "comes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("_text", "_id", "_y").mapInArrow(words, f"id {kind}, y int, words binary, goes binary, comes binary").collect()
-    got = sorted(got, key=lambda r: (r.id, r.words))[:max_rows]
+    saved = scratch.save(rows.select("_text", "_id", "_y").mapInArrow(words, f"id {kind}, y int, words binary, goes binary, comes binary"), "features")
+    got = sorted(saved.toLocalIterator(), key=lambda r: (r.id, r.words))[:max_rows]
+    scratch.drop(saved)
     changes = [(np.frombuffer(r.goes, np.uint64), np.frombuffer(r.comes, np.uint64)) for r in got]
     known_labels, texts = np.array([r.y for r in got], float), [np.frombuffer(r.words, np.uint64) for r in got]
     del got
     held = [texts]
     del texts
-    return fit(held.pop(), known_labels, changes, l2, swap_weight, min_docs)
+    scratch.sweep()
+    model = fit(held.pop(), known_labels, changes, l2, swap_weight, min_docs)
+    del changes
+    scratch.sweep()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -18,6 +18,7 @@ from lanthorn.llm.html_text import extract, main_text, text_nodes
 from lanthorn.llm.jaccard_join import jaccard_components, keep_one
 from lanthorn.llm.language_id import identify
 from lanthorn.llm.packing import Schedule, pack, phases, queues
+from lanthorn.llm.scratch import Scratch, trim
 from lanthorn.llm.secrets import find, redact, secrets
 from lanthorn.llm.substring_dedup import dedup_substrings
 from lanthorn.llm.toxicity import drop_toxic, fit, score, swapped, swaps, toxicity, train, word_features
@@ -320,6 +321,37 @@ def test_toxicity_trains_on_whole_texts(spark):
     assert np.isin(textcore.span_hashes(*whole_words(long)), got.keys).all() and len(got.keys) > 1500
 
 
+def test_training_rows_reach_the_driver_in_parts(spark, tmp_path):
+    """A limit on what one job may send to the driver, which holds for parts of the training rows and not for all of them."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(1000))) for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int")
+    table(spark, rows).repartition(16).write.parquet(str(tmp_path / "documents"))
+    docs, conf, key = spark.read.parquet(str(tmp_path / "documents")), spark._jsc.sc().conf(), "spark.driver.maxResultSize"
+    want = train(docs, labels)
+    size = 8 * 4 * 1000 * sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in rows)  # a word and three starts of it
+    conf.set(key, str(size // 2))
+    try:
+        got = train(docs, labels)
+    finally:
+        conf.remove(key)
+    assert (got.keys == want.keys).all() and (got.weights == want.weights).all() and got.bias == want.bias
+
+
+def test_sweep_gives_free_memory_back(spark):
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    some = [b"x" * 65_000 for _ in range(3000)]
+    kept = some[::50]  # so the others don't lie at the end of the heap
+    del some
+    before = held()
+    Scratch(spark, "test").sweep()
+    assert before - held() > 100 and len(kept) == 60
+    assert trim(spark).startswith("Trim native heap")
+
+
 def whole_words(text):
     data = np.frombuffer(text.encode(), np.uint8)
     starts, ends = textcore.spans(data, np.array([0, len(data)]), textcore.ALNUM)
